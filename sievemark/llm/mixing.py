@@ -9,6 +9,8 @@ the buckets' totals, so a source with a third of all rows is dealt out like any
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ from .licenses import count_pieces
 from .tables import cut, documents
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Queue entries in a bucket, about; only the number of buckets grows with the input.
-BUCKET_ROWS = 20_000
+#: So many sources at most are broadcast (some 40 bytes each).
+BROADCAST_SOURCES = 100_000
 _HASH_SPAN = float(1 << 48)
 
 
@@ -74,14 +76,14 @@ def fair_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
     sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col)).alias("key")))
     targets = cut(source_targets(sizes, weights, budget_share, max_repeats))
     n_rows, n_sources = sizes.count(), targets.count()
-    n_buckets = max(1, n_rows // BUCKET_ROWS)
+    n_buckets = max(1, math.isqrt(n_rows) // 2)  # so both buckets and their number grow as the square root
     total = targets.agg(F.sum("source_size").alias("size"), F.sum("target").alias("target")).first()
     budget = min((total.size or 0) * budget_share, total.target or 0.0)
 
     queue = _running(sizes.withColumn("bucket", F.floor(F.col("key") * n_buckets)), ["source"], ["key", "doc_id", "size"], "size", "upto")
     # a target is its source's weight in the queue; few sources are broadcast, many are joined by a shuffle
     at = targets.withColumnRenamed("source", "_source")
-    queue = cut(queue.join(F.broadcast(at) if n_sources <= BUCKET_ROWS else at, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", "upto"))
+    queue = cut(queue.join(F.broadcast(at) if n_sources <= BROADCAST_SOURCES else at, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target", "upto"))
 
     def finish(nth: Column) -> Column:
         return (F.col("upto") + nth * F.col("source_size")) / F.col("target")

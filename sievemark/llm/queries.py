@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing, repetition
+from . import chat, licenses, mixing, neardup, repetition
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_quality_rules": repetition.op10_quality_rules,
 }
-ORACLE_SQL = {"op1_chat_formatting": chat.OP1_SQL, "op5_source_mixing": mixing.OP5_SQL, "op10_quality_rules": repetition.OP10_SQL}
+ORACLE_SQL = {"op1_chat_formatting": chat.OP1_SQL, "op5_source_mixing": mixing.OP5_SQL, "op6_ngram_jaccard_join": neardup.OP6_SQL, "op10_quality_rules": repetition.OP10_SQL}
