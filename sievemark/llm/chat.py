@@ -176,7 +176,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.array(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("turns"))).alias("record"))
     planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(PLANTED).alias("record"))
-    turns = canonical_turns(rows.unionByName(planted)).select("conv_id", "turn", F.posexplode("turns").alias("pos", "t")).select("conv_id", "turn", "pos", "t.role", "t.text")
+    turns = canonical_turns(rows.unionByName(planted)).select("conv_id", "turn", F.posexplode_outer("turns").alias("pos", "t")).where("t is not null").select("conv_id", "turn", "pos", "t.role", "t.text")
     out = format_turns(turns, ["conv_id"], ["turn", "pos"]).withColumn("_turns", read_turns(F.col("formatted"))).withColumn("_loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.concat_ws("", F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
