@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, neardup, repetition
+from . import chat, decontaminate, licenses, mixing, neardup, repetition, tokenids
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_token_ids": tokenids.op8_token_ids,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_quality_rules": repetition.op10_quality_rules,
 }
