@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, mixing, neardup, repetition, tokenids
+from . import chat, decontaminate, langid, licenses, mixing, neardup, quality, repetition, tokenids, urls
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_url_filter": urls.op3_url_filter,
+    "op4_language_id": langid.op4_language_id,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_ngram_jaccard_join": neardup.op6_ngram_jaccard_join,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
