@@ -1,15 +1,764 @@
-"""All queries on the driver's tables, with their DuckDB SQL."""
+"""All queries on the driver's tables, with their DuckDB SQL.
+
+The tables stand for the domain's own: `documents` are records, `benchmark` items are narratives, `labels` judge the pool of a
+lexical run, `events` are decisions (topic = user, record = day), `embeddings` are chunks of documents of four.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as X
+from .functions.segment import criteria_rows, segment_column
+from .operators import corpus, decisions, dense, errors, evaluation, fusion, lexical, profiles, report, rerank, significance
+from .plans import match
+from .sources import readers, sinks
+from .streaming import quota
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
 
-def entry(spark):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# ---- lexical retrieval ------------------------------------------------------------------------------------------------------
+
+WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+BASE = f"""
+  post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM (SELECT doc_id, {WORDS} AS ws FROM documents)) GROUP BY ALL),
+  stat AS (SELECT count(*)::DOUBLE AS n, sum(len({WORDS}))::DOUBLE / count(*) AS avgdl FROM documents),
+  df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+  qt AS (SELECT topic_id, term, count(*) AS qtf FROM (SELECT item_id AS topic_id, unnest({WORDS}) AS term FROM benchmark) GROUP BY ALL),
+  m AS (SELECT topic_id, doc_id, qtf, df, tf, dl FROM qt JOIN df USING (term) JOIN post USING (term))"""
+
+
+def ranked_sql(of: str, by: str = "topic_id", doc: str = "doc_id") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {doc}) AS rank FROM {of})"
+
+
+def run_sql(name: str, k1: float, b: float, depth: int) -> str:
+    part = f"qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + {k1}::DOUBLE * (1 - {b}::DOUBLE + {b}::DOUBLE * dl / avgdl))"
+    return f"{name} AS (SELECT topic_id, doc_id, score, rank FROM {ranked_sql(f'(SELECT topic_id, doc_id, round(sum({part}), 6) AS score FROM m, stat GROUP BY topic_id, doc_id)')} WHERE rank <= {depth})"
+
+
+RUNS = f"WITH {BASE}, {run_sql('a', 0.9, 0.4, 100)}, {run_sql('b', 1.8, 1.0, 100)}"
+QRELS = f"{RUNS}, qrels AS (SELECT topic_id, doc_id, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END AS rel FROM b JOIN labels USING (doc_id))"
+
+
+def topics(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("topic_id"), F.col("text").alias("narrative"))
+
+
+def runs(spark: SparkSession, d: str, depth: int = 100) -> tuple[DataFrame, DataFrame]:
+    index = lexical.build_index(t(spark, d, "documents"))
+    return tuple(lexical.search(index, topics(spark, d), "topic_id", "narrative", k1, b, depth) for k1, b in ((0.9, 0.4), (1.8, 1.0)))
+
+
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two runs and the judgments of the second one's pool."""
+    a, b = runs(spark, d)
+    rel = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2).otherwise(0)
+    return a.drop("rank"), b.drop("rank"), b.join(t(spark, d, "labels"), "doc_id").select("topic_id", "doc_id", rel.alias("rel"))
+
+
+@query(f"WITH {BASE}, {run_sql('a', 0.9, 0.4, 10)} SELECT * FROM a")
+def bm25_top10(spark, d):
+    index = lexical.build_index(t(spark, d, "documents"))
+    return lexical.search(index, topics(spark, d), "topic_id", "narrative", depth=10)
+
+
+GRID = [(k1, b) for k1 in (0.5, 0.9, 1.2, 1.5, 1.8, 2.5, 3.0, 4.0) for b in (0.25, 0.4, 0.75, 1.0)]
+GRID_PART = "qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + k1 * (1 - b + b * dl / avgdl))"
+GRID_SQL = f"WITH {BASE}, grid AS (SELECT k1::DOUBLE AS k1, b::DOUBLE AS b FROM (VALUES {', '.join(f'({k}, {b})' for k, b in GRID)}) g(k1, b)), s AS (SELECT k1, b, topic_id, doc_id, round(sum({GRID_PART}), 6) AS score FROM m, stat, grid GROUP BY ALL)"
+
+
+@query(f"{GRID_SQL} SELECT k1, b, topic_id, doc_id, score, rank FROM {ranked_sql('s', 'k1, b, topic_id')} WHERE rank <= 3")
+def bm25_param_grid(spark, d):
+    index = lexical.build_index(t(spark, d, "documents"))
+    return lexical.search_grid(index, topics(spark, d), GRID, "topic_id", "narrative", 3)
+
+
+@query(f"WITH {BASE} SELECT term, df, sum(tf)::BIGINT AS cf FROM post JOIN df USING (term) GROUP BY term, df")
+def term_stats(spark, d):
+    return lexical.postings(t(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(len({WORDS})), 6) AS avgdl, max(len({WORDS}))::BIGINT AS longest FROM documents")
+def doc_length_stats(spark, d):
+    n = F.size(X.tokens(F.col("text")))
+    return t(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(n), 6).alias("avgdl"), F.max(n).cast("long").alias("longest"))
+
+
+@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(text, '[+\-!(){}\[\]^"~*?:\\/&|]', ' ', 'g'), '\s+', ' ', 'g')) AS query FROM benchmark""")
+def query_prepare(spark, d):
+    return t(spark, d, "benchmark").select("item_id", X.prepare_query(F.col("text")).alias("query"))
+
+
+@query(f"{RUNS} SELECT topic_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' lex' AS value FROM a")
+def run_file_lines(spark, d):
+    return sinks.run_lines(runs(spark, d)[0], "lex", 100)
+
+
+@query(f"{QRELS} SELECT topic_id::VARCHAR AS topic_id, doc_id::VARCHAR AS doc_id, rel FROM qrels")
+def qrels_lines_parse(spark, d):
+    q = judged(spark, d)[2]
+    return readers.parse_qrels(q.select(F.format_string("%d 0 %d  %d", "topic_id", "doc_id", "rel").alias("value")))
+
+
+# ---- corpus -----------------------------------------------------------------------------------------------------------------
+
+LINES = r"""
+  raw AS (SELECT doc_id, k, lines[k] AS line, coalesce(sum(len(lines[k]) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+  seg AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS idx, trim(line) AS text, s AS span_start, (s + len(line))::INT AS span_end FROM raw WHERE trim(line) <> '')"""
+
+
+def segments(spark, d):
+    return corpus.line_segments(t(spark, d, "documents"))
+
+
+@query(f"WITH {LINES} SELECT * FROM seg")
+def line_segments_with_spans(spark, d):
+    return segments(spark, d)
+
+
+@query(f"WITH {LINES} SELECT count(*) AS n_checked, 0::BIGINT AS n_violations FROM seg")
+def span_verify_violations(spark, d):
+    return corpus.span_violations(segments(spark, d), t(spark, d, "documents"))
+
+
+@query(f"WITH {LINES} SELECT d.doc_id, substr(d.text, span_start + 1, span_end - span_start) AS source FROM seg JOIN documents d USING (doc_id)")
+def criterion_source(spark, d):
+    return segments(spark, d).drop("text").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", corpus.span_text(F.col("text"), F.col("span_start"), F.col("span_end")).alias("source"))
+
+
+@query("""SELECT count(*) AS n, count(DISTINCT doc_id) AS n_ids, count(DISTINCT source) AS n_sources, count(lang) AS n_lang, count(*) FILTER (length(text) = 0) AS n_empty,
+  round(100.0::DOUBLE * count(*) FILTER (lang = 'en') / count(*), 6) AS pct_en FROM documents""")
+def corpus_quality_report(spark, d):
+    n = F.count(F.lit(1))
+    return t(spark, d, "documents").agg(n.alias("n"), F.countDistinct("doc_id").alias("n_ids"), F.countDistinct("source").alias("n_sources"), F.count("lang").alias("n_lang"), F.count_if(F.length("text") == 0).alias("n_empty"), F.round(100.0 * F.count_if(F.col("lang") == "en") / n, 6).alias("pct_en"))
+
+
+@query(f"WITH {LINES}, c AS (SELECT list_sort(list(n)) AS l FROM (SELECT count(*) AS n FROM seg GROUP BY doc_id)) SELECT l[(len(l) * 0.5)::BIGINT + CASE WHEN (len(l) * 0.5)::BIGINT > len(l) * 0.5 THEN 0 ELSE 1 END] AS p50, l[floor(len(l) * 0.95::DOUBLE)::BIGINT + 1] AS p95, l[len(l)] AS longest FROM c")
+def lines_per_doc_percentiles(spark, d):
+    n = segments(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.quantile_by_index(n, "n", {"p50": 0.5, "p95": 0.95}).crossJoin(F.broadcast(n.agg(F.max("n").alias("longest"))))
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def parse_method_counts(spark, d):
+    return t(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, string_agg(text, '; ' ORDER BY idx) AS joined, count(*) AS n FROM seg GROUP BY doc_id")
+def doc_with_children(spark, d):
+    return corpus.joined_children(segments(spark, d), "doc_id", "text", "idx")
+
+
+@query(r"""SELECT doc_id, CASE WHEN trim(string_split(text, chr(10))[1]) = '' THEN source || chr(10) || lang ELSE trim(string_split(text, chr(10))[1]) || chr(10) || source || chr(10) || lang END AS contents FROM documents""")
+def retrieval_text(spark, d):
+    title = F.trim(F.split("text", "\n")[0])
+    return t(spark, d, "documents").select("doc_id", corpus.retrieval_text(title, F.col("source"), F.array("lang")).alias("contents"))
+
+
+@query()
+def segment_udtf(spark, d):
+    return criteria_rows(segment_column(t(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
+AGES = ["14 Years", "6 Months", "2 Weeks", "10 Days", "N/A", "1.2.3 Years", " 18 years ", "90 Minutes"]
+
+
+@query("""SELECT raw, CASE raw WHEN '14 Years' THEN 14.0::DOUBLE WHEN '6 Months' THEN round(6.0::DOUBLE / 12, 9) WHEN '2 Weeks' THEN round(2.0::DOUBLE / 52.1775::DOUBLE, 9) WHEN '10 Days' THEN round(10.0::DOUBLE / 365.25::DOUBLE, 9)
+  WHEN ' 18 years ' THEN 18.0::DOUBLE WHEN '90 Minutes' THEN round(90.0::DOUBLE / (365.25::DOUBLE * 24 * 60), 9) END AS years FROM (SELECT unnest(['14 Years', '6 Months', '2 Weeks', '10 Days', 'N/A', '1.2.3 Years', ' 18 years ', '90 Minutes']) AS raw)""")
+def age_parse(spark, d):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, AGES))).alias("raw")).select("raw", F.round(X.age_years(F.col("raw")), 9).alias("years"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN m > 0 AND (f = 0 OR m < f) THEN 'male' WHEN f > 0 THEN 'female' WHEN pm > 0 AND (pf = 0 OR pm < pf) THEN 'male' WHEN pf > 0 THEN 'female' END AS sex FROM (
+  SELECT conv_id, turn, length(h) - length(regexp_replace(h, '(?is)^.*?\b(?:man|male|gentleman|boy)\b', '')) AS m, length(h) - length(regexp_replace(h, '(?is)^.*?\b(?:woman|female|lady|girl)\b', '')) AS f,
+  length(regexp_extract(h, '(?is)^(.*?)\b(?:he|his|him)\b', 1)) + CASE WHEN regexp_matches(h, '(?i)\b(?:he|his|him)\b') THEN 1 ELSE 0 END AS pm,
+  length(regexp_extract(h, '(?is)^(.*?)\b(?:she|her|hers)\b', 1)) + CASE WHEN regexp_matches(h, '(?i)\b(?:she|her|hers)\b') THEN 1 ELSE 0 END AS pf
+  FROM (SELECT conv_id, turn, substr(text, 1, 220) AS h FROM conversations WHERE role = 'user'))""")
+def age_sex_gold(spark, d):
+    return t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.gold_age_sex(F.col("text"))[2].alias("sex"))
+
+
+@query(r"""SELECT doc_id, k AS chunk_idx, CASE WHEN len(ws) <= 320 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k * 280 + 1:k * 280 + 320], ' ') END AS chunk FROM (
+  SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= 320 THEN 1 ELSE (len(ws) + 279) // 280 END))::INT AS k FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents))""")
+def chunk_words_320_40(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.posexplode(X.chunk_words(F.col("text"))).alias("chunk_idx", "chunk"))
+
+
+@query("SELECT doc_id FROM labels UNION SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id LIMIT 200)")
+def subsample_judged_plus_distractors(spark, d):
+    return corpus.subsample(t(spark, d, "labels"), t(spark, d, "documents"), "doc_id", 200)
+
+
+@query("SELECT round(avg(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))), 6) AS mean_words, max(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS longest FROM benchmark")
+def query_length_stats(spark, d):
+    n = X.n_words(F.col("text"))
+    return t(spark, d, "benchmark").agg(F.round(F.avg(n), 6).alias("mean_words"), F.max(n).cast("long").alias("longest"))
+
+
+# ---- dense retrieval --------------------------------------------------------------------------------------------------------
+
+NEAR = "SELECT q.vec_id AS query_id, {doc} AS doc_id, round(max(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 GROUP BY ALL"
+
+
+def vectors(spark, d):
+    v = t(spark, d, "embeddings")
+    # the stated query set: every id divisible by 100, against all rows
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), v
+
+
+@query(f"WITH s AS ({NEAR.format(doc='v.vec_id')}) SELECT query_id, doc_id, score, rank FROM {ranked_sql('s', 'query_id')} WHERE rank <= 10")
+def dense_top10(spark, d):
+    q, v = vectors(spark, d)
+    return dense.dense_search(q, v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 10)
+
+
+@query(f"WITH s AS ({NEAR.format(doc='v.vec_id // 4')}) SELECT query_id, doc_id, score, rank FROM {ranked_sql('s', 'query_id')} WHERE rank <= 10")
+def dense_max_pool_top10(spark, d):
+    q, v = vectors(spark, d)
+    return dense.dense_search(q, v.select(F.floor(F.col("vec_id") / 4).alias("doc_id"), F.col("embedding").alias("vec")), 10)
+
+
+# ---- fusion -----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"{RUNS} SELECT topic_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL")
+def rrf_fusion(spark, d):
+    return fusion.rrf([r.drop("rank") for r in runs(spark, d)], [0.5, 0.5], topic="topic_id")
+
+
+@query(f"{RUNS} SELECT topic_id, doc_id, w AS weight, round(w * coalesce(1.0::DOUBLE / (60 + a.rank), 0) + (1 - w) * coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM a FULL JOIN b USING (topic_id, doc_id), (SELECT (range / 10.0::DOUBLE) AS w FROM range(11))")
+def rrf_weight_sweep(spark, d):
+    a, b = runs(spark, d)
+    return fusion.rrf_sweep(a.drop("rank"), b.drop("rank"), [k / 10 for k in range(11)])
+
+
+def _wsum(low: str, span: str) -> str:
+    leg = lambda r, w: f"SELECT topic_id, doc_id, {w}::DOUBLE * CASE WHEN {span} > 0 THEN (score - {low}) / {span} ELSE 0 END AS part FROM {r} WINDOW o AS (PARTITION BY topic_id)"
+    return f"{RUNS} SELECT topic_id, doc_id, round(sum(part), 9) AS score FROM ({leg('a', 0.4)} UNION ALL {leg('b', 0.6)}) GROUP BY ALL"
+
+
+@query(_wsum("min(score) OVER o", "(max(score) OVER o - min(score) OVER o)"))
+def wsum_minmax(spark, d):
+    return fusion.wsum([r.drop("rank") for r in runs(spark, d)], [0.4, 0.6], "minmax")
+
+
+@query(_wsum("avg(score) OVER o", "(stddev_pop(score) OVER o)"))
+def wsum_zscore(spark, d):
+    return fusion.wsum([r.drop("rank") for r in runs(spark, d)], [0.4, 0.6], "zscore")
+
+
+_COMPLEMENT = f"{QRELS}, g AS (SELECT a10.doc_id IS NOT NULL AS x, b10.doc_id IS NOT NULL AS y FROM qrels LEFT JOIN (SELECT * FROM a WHERE rank <= 20) a10 USING (topic_id, doc_id) LEFT JOIN (SELECT * FROM b WHERE rank <= 20) b10 USING (topic_id, doc_id) WHERE rel = 2)"
+
+
+@query(f"{_COMPLEMENT} SELECT count(*) AS n_gold, round(avg((x AND y)::INT), 6) AS both, round(avg((x AND NOT y)::INT), 6) AS only_a, round(avg((y AND NOT x)::INT), 6) AS only_b, round(avg((NOT x AND NOT y)::INT), 6) AS neither, round(avg((x OR y)::INT), 6) AS in_union FROM g")
+def complementarity(spark, d):
+    a, b, q = judged(spark, d)
+    return fusion.complementarity(q.where("rel = 2"), a, b, 20)
+
+
+@query(f"{_COMPLEMENT} SELECT count(*) AS n_gold, round(avg((x OR y)::INT), 6) AS in_union FROM g")
+def union_recall(spark, d):
+    return complementarity(spark, d).select("n_gold", "in_union")
+
+
+_OVERLAP = f"round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+'))))::DOUBLE / len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 6)"
+
+
+@query(f"{RUNS}, s AS (SELECT topic_id, a.doc_id, {_OVERLAP} AS score FROM a JOIN benchmark q ON q.item_id = topic_id JOIN documents d ON d.doc_id = a.doc_id) SELECT topic_id, doc_id, score, rank FROM {ranked_sql('s')}")
+def rerank_top100(spark, d):
+    q = topics(spark, d).withColumnRenamed("narrative", "query")
+    return rerank.rerank(runs(spark, d)[0], q, t(spark, d, "documents"), 100)
+
+
+# ---- evaluation -------------------------------------------------------------------------------------------------------------
+
+
+def _trec(rel: str, run: str = "a") -> str:
+    return f"""{QRELS}, g AS (SELECT topic_id, doc_id, {rel} AS rel FROM qrels), r AS (SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM {run}),
+  ideal AS (SELECT topic_id, count(*) AS big_r, sum(rel / log2(at + 1)) FILTER (at <= 10) AS i10, sum(rel / log2(at + 1)) FILTER (at <= 5) AS i5 FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC, doc_id) AS at FROM g WHERE rel > 0) GROUP BY topic_id),
+  pool AS (SELECT topic_id, count(*) FILTER (rel <= 0) AS big_n FROM g GROUP BY topic_id),
+  j AS (SELECT r.*, rel, coalesce(sum((coalesce(rel, 1) <= 0)::INT) OVER (PARTITION BY r.topic_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nonrel FROM r LEFT JOIN g USING (topic_id, doc_id)),
+  e AS (SELECT topic_id, round(coalesce(sum(rel / log2(rank + 1)) FILTER (rel > 0 AND rank <= 10) / any_value(i10), 0), 6) AS ndcg_10, round(coalesce(sum(rel / log2(rank + 1)) FILTER (rel > 0 AND rank <= 5) / any_value(i5), 0), 6) AS ndcg_5,
+    round(count(*) FILTER (rel > 0 AND rank <= 10) / 10.0::DOUBLE, 6) AS p_10, round(count(*) FILTER (rel > 0 AND rank <= 5) / 5.0::DOUBLE, 6) AS p_5, round(coalesce(count(*) FILTER (rel > 0 AND rank <= 1000)::DOUBLE / any_value(big_r), 0), 6) AS recall_1000,
+    round(coalesce(1.0::DOUBLE / min(rank) FILTER (rel > 0), 0), 6) AS recip_rank, round(coalesce(sum(1 - CASE WHEN least(big_r, big_n) > 0 THEN least(nonrel, big_r)::DOUBLE / least(big_r, big_n) ELSE 0 END) FILTER (rel > 0) / any_value(big_r), 0), 6) AS bpref
+    FROM j LEFT JOIN ideal USING (topic_id) LEFT JOIN pool USING (topic_id) GROUP BY topic_id)"""
+
+
+def _long(of: str, names: tuple[str, ...], prefix: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT topic_id, '{prefix}{n}' AS metric, {n} AS value FROM {of}" for n in names)
+
+
+ELIGIBLE, COND = "(rel = 2)::INT", "(SELECT a.* FROM a JOIN qrels USING (topic_id, doc_id))"
+NDCG, REST = ("ndcg_5", "ndcg_10"), ("p_5", "p_10", "recall_1000", "recip_rank")
+
+
+def _metrics(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return df.where(F.col("metric").isin(*names)).select("topic_id", "metric", "value")
+
+
+@query(f"{_trec('rel')} {_long('e', NDCG)}")
+def ndcg_official(spark, d):
+    a, _, q = judged(spark, d)
+    return _metrics(evaluation.trec_measures(a, q), NDCG)
+
+
+@query(f"{_trec(ELIGIBLE)} {_long('e', NDCG)}")
+def ndcg_eligible(spark, d):
+    a, _, q = judged(spark, d)
+    return _metrics(evaluation.trec_measures(a, evaluation.eligible_only(q)), NDCG)
+
+
+@query(f"{_trec(ELIGIBLE, COND)} {_long('e', NDCG)}")
+def ndcg_cond(spark, d):
+    a, _, q = judged(spark, d)
+    return _metrics(evaluation.trec_measures(evaluation.condense(a, q), evaluation.eligible_only(q)), NDCG)
+
+
+@query(f"{_trec('rel')} {_long('e', REST)}")
+def precision_recall_mrr(spark, d):
+    a, _, q = judged(spark, d)
+    return _metrics(evaluation.trec_measures(a, q), REST)
+
+
+@query(f"{_trec('rel')} {_long('e', ('bpref',))}")
+def bpref(spark, d):
+    a, _, q = judged(spark, d)
+    return _metrics(evaluation.trec_measures(a, q), ("bpref",))
+
+
+def _at(cond: str, name: str) -> str:
+    return f"{QRELS} SELECT topic_id, '{name}' AS metric, round(count(doc_id) FILTER ({cond} AND rank <= 10) / 10.0::DOUBLE, 6) AS value FROM qrels LEFT JOIN a USING (topic_id, doc_id) GROUP BY topic_id"
+
+
+@query(_at("rel = 1", "contamination_10"))
+def contamination_at_10(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.contamination_at(a, q)
+
+
+@query(_at("true", "judged_10"))
+def judged_at_10(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.judged_at(a, q)
+
+
+@query(f"{QRELS} SELECT topic_id, 'eligible_recall_50' AS metric, round(avg((rank <= 50 AND rank IS NOT NULL)::INT), 6) AS value FROM qrels LEFT JOIN a USING (topic_id, doc_id) WHERE rel = 2 GROUP BY topic_id")
+def eligible_recall_macro(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.eligible_recall(a, q, 50)
+
+
+@query(f"{QRELS} SELECT count(*) AS n_gold, count(*) FILTER (rank <= 50) AS n_found, round(count(*) FILTER (rank <= 50)::DOUBLE / count(*), 6) AS recall FROM qrels LEFT JOIN a USING (topic_id, doc_id) WHERE rel = 2")
+def recall_micro(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.micro_recall(a, q.where("rel = 2"), 50)
+
+
+@query(f"{QRELS} SELECT topic_id, doc_id, (rel = 2)::INT AS rel FROM qrels")
+def eligible_only_remap(spark, d):
+    return evaluation.eligible_only(judged(spark, d)[2])
+
+
+@query(f"{QRELS} SELECT r.rel::INT AS rel, count(doc_id) AS n FROM (VALUES (0), (1), (2)) r(rel) LEFT JOIN qrels USING (rel) GROUP BY r.rel")
+def label_counts(spark, d):
+    return evaluation.label_counts(judged(spark, d)[2])
+
+
+@query(f"{QRELS} SELECT topic_id, doc_id, score FROM a SEMI JOIN qrels USING (topic_id, doc_id)")
+def condensed_run(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.condense(a, q)
+
+
+@query(f"{QRELS} SELECT topic_id, doc_id, CASE rel WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM qrels")
+def adversarial_run(spark, d):
+    return evaluation.adversarial_run(judged(spark, d)[2])
+
+
+@query(f"{QRELS} SELECT DISTINCT topic_id FROM qrels WHERE topic_id NOT IN (SELECT topic_id FROM a WHERE score >= 30)")
+def missing_topics(spark, d):
+    a, _, q = judged(spark, d)
+    return evaluation.missing_topics(a.where("score >= 30"), q)
+
+
+@query(f"{_trec('rel')}, l AS ({_long('e', (*NDCG, *REST, 'bpref'), 'official/')}) SELECT metric, round(avg(value), 6) AS mean, count(*) AS n_topics, CASE metric WHEN 'official/ndcg_10' THEN 1 WHEN 'official/p_10' THEN 2 WHEN 'official/recip_rank' THEN 3 ELSE 9 END::INT AS ord FROM l GROUP BY metric")
+def metric_report(spark, d):
+    a, _, q = judged(spark, d)
+    m = evaluation.trec_measures(a, q).withColumn("metric", F.concat(F.lit("official/"), "metric"))
+    return sinks.report_order(evaluation.averages(m))
+
+
+@query(f"{_trec('rel')}, l AS ({_long('e', (*NDCG, *REST, 'bpref'), 'official/')}), old AS (SELECT metric, 0.0::DOUBLE AS mean FROM (VALUES ('official/ndcg_10'), ('other')) v(metric)) SELECT metric, round(avg(value), 6) AS mean FROM l GROUP BY metric UNION ALL SELECT * FROM old WHERE metric NOT IN (SELECT metric FROM l)")
+def results_upsert(spark, d):
+    a, _, q = judged(spark, d)
+    new = evaluation.averages(evaluation.trec_measures(a, q).withColumn("metric", F.concat(F.lit("official/"), "metric"))).select("metric", "mean")
+    old = spark.range(1).select(F.explode(F.array(F.lit("official/ndcg_10"), F.lit("other"))).alias("metric"), F.lit(0.0).alias("mean"))
+    return sinks.upsert(old, new, ["metric"])
+
+
+def _systems(spark, d):
+    a, b, q = judged(spark, d)
+    return match.ladder({"a": a, "b": b}, q)
+
+
+@query()
+def paired_bootstrap(spark, d):
+    return significance.compare(_systems(spark, d), [("b", "a")])
+
+
+@query(f"""{QRELS}, v AS (SELECT topic_id, round(count(doc_id) FILTER (rel = 1 AND ra <= 10) / 10.0::DOUBLE, 6) AS x, round(count(doc_id) FILTER (rel = 1 AND rb <= 10) / 10.0::DOUBLE, 6) AS y FROM
+    (SELECT q.*, a.rank AS ra, b.rank AS rb FROM qrels q LEFT JOIN a USING (topic_id, doc_id) LEFT JOIN b USING (topic_id, doc_id)) GROUP BY topic_id),
+  s AS (SELECT list(x - y ORDER BY topic_id) AS ds FROM v), o AS (SELECT ds, list_sum(ds) / len(ds) AS obs FROM s),
+  draws AS (SELECT obs, len(ds) AS n, list_sum(list_transform(range(len(ds)), lambda i: ds[(('0x' || substr(md5(k || ':' || i), 1, 8))::BIGINT % len(ds)) + 1])) / len(ds) AS m FROM o, (SELECT range AS k FROM range(200)))
+SELECT 'elig/contamination_10' AS metric, any_value(n)::BIGINT AS n, round(any_value(obs), 6) AS diff, round(count(*) FILTER (round(abs(m - obs), 9) >= round(abs(obs), 9)) / 200.0::DOUBLE, 6) AS p FROM draws""")
+def paired_bootstrap_hash(spark, d):
+    a, b, q = judged(spark, d)
+    both = evaluation.contamination_at(a, q).withColumn("system", F.lit("a")).unionByName(evaluation.contamination_at(b, q).withColumn("system", F.lit("b")))
+    return significance.hash_bootstrap(both.withColumn("metric", F.concat(F.lit("elig/"), "metric")), "a", "b")
+
+
+# ---- profiles ---------------------------------------------------------------------------------------------------------------
+
+_ENTITY = "regexp_extract_all(lower(text), '[a-z]{6,}')"
+
+
+def profile_rows(spark, d):
+    """A profile of each user turn: its long words are conditions (of odd length: negated), from the second on also treatments."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))
+    entity = lambda x: F.struct(x.alias("name"), F.when(F.length(x) % 2 == 1, "negated").otherwise("present").alias("status"), x.alias("evidence"))
+    absent = F.lit(None).cast(profiles.ENTITY)
+    age = F.when(F.col("turn") % 4 == 0, F.struct((20 + F.col("conv_id") % 60).cast("double").alias("value"), F.lit("years").alias("unit"), F.substring("text", 1, 5).alias("evidence")))
+    sex = F.when(F.col("turn") % 3 == 0, F.struct(F.when(F.col("conv_id") % 2 == 0, "male").otherwise("female").alias("value"), F.lit("not said").alias("evidence")))
+    p = F.struct(age.alias("age"), sex.alias("sex"), F.transform(F.slice(w, 1, 3), entity).alias("conditions"), absent.alias("biomarkers"), F.transform(F.slice(w, 2, 3), entity).alias("prior_treatments"), absent.alias("labs"), absent.alias("comorbidities"))
+    return t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("narrative"), p.alias("profile"))
+
+
+_TERMS = f"SELECT conv_id, turn, text, list_filter(list_transform(list_filter(range(1, 5), lambda i: i <= len({_ENTITY}) AND len({_ENTITY}[i]) % 2 = 0 AND list_position({_ENTITY}, {_ENTITY}[i]) = i), lambda i: {_ENTITY}[i]), lambda x: x IS NOT NULL) AS terms FROM conversations WHERE role = 'user'"
+
+
+@query(f"WITH p AS ({_TERMS}) SELECT conv_id, turn, array_to_string(terms, '|') AS terms FROM p")
+def profile_terms(spark, d):
+    return profile_rows(spark, d).select("conv_id", "turn", F.array_join(profiles.profile_terms(F.col("profile")), "|").alias("terms"))
+
+
+@query(f"WITH p AS ({_TERMS}) SELECT conv_id, turn, CASE WHEN len(terms) = 0 THEN text ELSE text || chr(10) || array_to_string(terms, ' ') END AS query FROM p")
+def build_query(spark, d):
+    return profile_rows(spark, d).select("conv_id", "turn", profiles.build_query(F.col("profile"), F.col("narrative")).alias("query"))
+
+
+@query(f"SELECT conv_id, turn, ((turn % 4 = 0)::INT + (turn % 3 = 0)::INT + least(3, len({_ENTITY})) + greatest(0, least(3, len({_ENTITY}) - 1)))::INT AS n_values, (turn % 3 = 0)::INT AS n_dropped FROM conversations WHERE role = 'user'")
+def verify_profile(spark, d):
+    p = profile_rows(spark, d)
+    return p.select("conv_id", "turn", profiles.n_values(F.col("profile")).alias("n_values"), profiles.verify_profile(F.col("profile"), F.col("narrative"))[1].alias("n_dropped"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_ok FROM conversations WHERE role = 'user'")
+def schema_ok(spark, d):
+    return profile_rows(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(profiles.schema_ok(F.col("profile"))).alias("n_ok"))
+
+
+@query(f"""SELECT 'rules' AS model, count(*) AS n, 100.0::DOUBLE AS schema_valid, round(100.0::DOUBLE * sum(held) / sum(held + (turn % 3 = 0)::INT), 6) AS grounding, 100.0::DOUBLE AS localized, round(sum(held)::DOUBLE / count(*), 6) AS coverage
+  FROM (SELECT turn, (turn % 4 = 0)::INT + least(3, len({_ENTITY})) + greatest(0, least(3, len({_ENTITY}) - 1)) AS held FROM conversations WHERE role = 'user')""")
+def extraction_scorecard(spark, d):
+    r = profile_rows(spark, d).withColumn("model", F.lit("rules")).withColumn("seconds", F.lit(1.0))
+    return profiles.scorecard(r).select("model", "n", "schema_valid", "grounding", "localized", "coverage")
+
+
+# ---- decisions --------------------------------------------------------------------------------------------------------------
+
+DEC = """
+  ev AS (SELECT user_id AS topic_id, strftime(ts, '%Y-%m-%d') AS nct_id, * FROM events),
+  dec0 AS (SELECT topic_id, nct_id, (row_number() OVER (PARTITION BY topic_id, nct_id ORDER BY event_id) - 1)::INT AS criterion_idx, CASE event_id % 3 WHEN 0 THEN 'inclusion' WHEN 1 THEN 'exclusion' ELSE 'unknown' END AS section,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'satisfied' WHEN event_type = 'error' THEN 'violated' ELSE 'unverifiable' END AS label,
+    CASE WHEN event_id % 5 = 0 THEN 'No prior ' || event_type ELSE 'Known ' || event_type || ' ' || props END AS criterion_quote, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'reported ' || event_type END AS patient_evidence FROM ev),
+  base AS (SELECT topic_id, nct_id, round(sum(value), 6) AS score, CASE WHEN sum(value) >= 50 THEN 2 WHEN count(*) >= 3 THEN 1 ELSE 0 END AS rel FROM ev GROUP BY ALL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, nct_id) AS rank, count(*) OVER (PARTITION BY topic_id) AS size FROM base),
+  pairs AS (SELECT topic_id, nct_id FROM ranked WHERE rank <= 10),
+  dec AS (SELECT dec0.* FROM dec0 JOIN pairs USING (topic_id, nct_id))"""
+SCORES = r"""
+  k AS (SELECT topic_id, nct_id, count(*) AS n, count(*) FILTER (label = 'satisfied') AS sat, count(*) FILTER (label = 'unverifiable') AS unv, count(*) FILTER (label = 'violated') AS vio_any,
+    count(*) FILTER (label = 'violated' AND CASE WHEN section IN ('inclusion', 'exclusion') THEN section = 'exclusion' ELSE {infer} END) AS vio_exc FROM dec GROUP BY ALL),
+  scores AS (SELECT *, round(CASE WHEN vio_any > 0 THEN 0 ELSE 1e-6 + (1 - 1e-6) * least(greatest(((sat - 0.5::DOUBLE * unv) / n + 0.5::DOUBLE) / 1.5::DOUBLE, 0), 1) END, 9) AS strict,
+    round(CASE WHEN vio_exc > 0 THEN 0 ELSE 1e-6 + (1 - 1e-6) * least(greatest(((sat - 0.5::DOUBLE * unv) / n - 0.3::DOUBLE * (vio_any - vio_exc) / n + 0.8::DOUBLE) / 1.8::DOUBLE, 0), 1) END, 9) AS lenient,
+    round(1e-6 + (1 - 1e-6) * least(greatest(sat::DOUBLE / n, 0), 1), 9) AS count FROM k)"""
+INFER = SCORES.format(infer=r"regexp_matches(criterion_quote, '(?i)^\s*(?:no|not|none|without|absence of|free of)\b')")
+
+
+def events(spark, d) -> DataFrame:
+    return t(spark, d, "events").withColumn("topic_id", F.col("user_id")).withColumn("nct_id", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def base_run(spark, d) -> DataFrame:
+    rel = F.when(F.sum("value") >= 50, 2).when(F.count(F.lit(1)) >= 3, 1).otherwise(0)
+    return events(spark, d).groupBy("topic_id", "nct_id").agg(F.round(F.sum("value"), 6).alias("score"), rel.alias("rel"))
+
+
+def decided(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pairs (the first ten of each topic) and their decisions."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("topic_id", "nct_id").orderBy("event_id")) - 1
+    section = F.when(F.col("event_id") % 3 == 0, "inclusion").when(F.col("event_id") % 3 == 1, "exclusion").otherwise("unknown")
+    label = F.when(F.col("event_type").isin("purchase", "signup"), "satisfied").when(F.col("event_type") == "error", "violated").otherwise("unverifiable")
+    quote = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("No prior "), "event_type")).otherwise(F.concat(F.lit("Known "), "event_type", F.lit(" "), "props"))
+    evidence = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("reported "), "event_type"))
+    every = events(spark, d).select("topic_id", "nct_id", nth.cast("int").alias("criterion_idx"), section.alias("section"), label.alias("label"), quote.alias("criterion_quote"), evidence.alias("patient_evidence"))
+    pairs = lexical.top_k(base_run(spark, d), 10, ["topic_id"], "nct_id").select("topic_id", "nct_id")
+    return pairs, every.join(pairs, ["topic_id", "nct_id"])
+
+
+def scored(spark, d, infer: bool = True) -> DataFrame:
+    return decisions.trial_scores(*decided(spark, d), infer)
+
+
+def _score_query(name: str, rule: str, infer: bool) -> None:
+    sql = f"WITH {DEC}, {INFER if infer else SCORES.format(infer='false')} SELECT topic_id, nct_id, n, sat, unv, vio_any, vio_exc, {rule} AS score FROM scores"
+
+    def run(spark, d):
+        return scored(spark, d, infer).select("topic_id", "nct_id", "n", "sat", "unv", "vio_any", "vio_exc", F.col(rule).alias("score"))
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name, _rule, _infer in (("trial_score_strict", "strict", True), ("trial_score_lenient", "lenient", True), ("trial_score_count", "count", True), ("trial_score_noinfer", "lenient", False)):
+    _score_query(_name, _rule, _infer)
+
+CRITERIA = "criteria AS (SELECT nct_id, criterion_idx AS idx, any_value(section) AS section FROM dec0 GROUP BY nct_id, criterion_idx)"
+
+
+@query(f"WITH {DEC} SELECT topic_id, nct_id, rank, n_criteria FROM ranked JOIN (SELECT nct_id, count(*) AS n_criteria FROM ev WHERE event_type = 'error' GROUP BY nct_id) USING (nct_id) WHERE rank <= 5")
+def plan_work(spark, d):
+    crit = events(spark, d).where("event_type = 'error'").select("nct_id")
+    run = base_run(spark, d).select("topic_id", F.col("nct_id").alias("doc_id"), "score")
+    return decisions.plan_work(run, run.select("topic_id").distinct(), crit, 5)
+
+
+@query(f"WITH {DEC}, w AS (SELECT n_criteria FROM ranked JOIN (SELECT nct_id, count(*) AS n_criteria FROM ev WHERE event_type = 'error' GROUP BY nct_id) USING (nct_id) WHERE rank <= 5) SELECT count(*) AS n_pairs, sum(n_criteria)::BIGINT AS n_criteria, sum(ceil(n_criteria / 30.0))::BIGINT AS n_calls FROM w")
+def plan_work_estimate(spark, d):
+    return decisions.call_estimate(plan_work(spark, d))
+
+
+@query(f"WITH {DEC} SELECT topic_id, nct_id FROM pairs ANTI JOIN (SELECT topic_id, nct_id FROM ev WHERE event_type = 'signup') x USING (topic_id, nct_id)")
+def cache_todo_antijoin(spark, d):
+    return decisions.todo(decided(spark, d)[0], events(spark, d).where("event_type = 'signup'"), ["topic_id", "nct_id"])
+
+
+@query(f"""WITH {DEC}, ans AS (SELECT topic_id, nct_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id % 4)::INT END AS criterion_idx, event_id AS pos FROM ev), known AS (SELECT DISTINCT nct_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END::INT AS criterion_idx, true AS ok FROM ev),
+  x AS (SELECT a.*, ok, row_number() OVER (PARTITION BY topic_id, a.nct_id, a.criterion_idx ORDER BY pos) AS nth FROM ans a LEFT JOIN known k ON k.nct_id = a.nct_id AND k.criterion_idx = a.criterion_idx)
+  SELECT topic_id, nct_id, criterion_idx, pos, CASE WHEN criterion_idx IS NULL THEN 'index_missing' WHEN ok IS NULL THEN 'index_unknown' WHEN nth > 1 THEN 'index_duplicate' END AS reject_reason FROM x""")
+def index_match_first_wins(spark, d):
+    e = events(spark, d)
+    answers = e.select("topic_id", "nct_id", F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 4).cast("int")).alias("criterion_idx"), F.col("event_id").alias("pos"))
+    known = e.select("nct_id", F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2).alias("idx")).distinct()
+    return decisions.match_answers(answers, known).select("topic_id", "nct_id", "criterion_idx", "pos", "reject_reason")
+
+
+_SQUASH = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+CHECKED = f"""checked AS (SELECT conv_id, turn, CASE WHEN label NOT IN ('satisfied', 'violated', 'unverifiable') THEN 'label_invalid' WHEN NOT contains({_SQUASH.format('criterion')}, {_SQUASH.format('quote')}) THEN 'criterion_quote_not_in_criterion'
+    WHEN label = 'unverifiable' AND evidence = '' THEN NULL WHEN label <> 'unverifiable' AND trim(evidence) = '' THEN 'patient_evidence_empty' WHEN NOT (length({_SQUASH.format('evidence')}) > 0 AND contains({_SQUASH.format('narrative')}, {_SQUASH.format('evidence')})) THEN 'patient_evidence_not_in_narrative' END AS reject_reason
+  FROM (SELECT a.conv_id, a.turn, u.text AS narrative, a.text AS criterion, CASE a.conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not there' ELSE upper(substr(u.text, 3, 25)) END AS evidence, CASE WHEN a.conv_id % 7 = 3 THEN 'missing quote' WHEN a.conv_id % 7 = 4 THEN '' ELSE substr(a.text, 1, 30) END AS quote,
+    CASE a.turn % 4 WHEN 1 THEN CASE WHEN a.conv_id % 2 = 0 THEN 'satisfied' ELSE 'unverifiable' END WHEN 3 THEN CASE WHEN a.conv_id % 9 = 0 THEN 'maybe' ELSE 'violated' END ELSE 'satisfied' END AS label
+    FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'))"""
+
+
+def checked(spark, d) -> DataFrame:
+    c = t(spark, d, "conversations")
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("criterion"))
+    p = a.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("narrative")), ["conv_id", "turn"])
+    i = F.col("conv_id")
+    evidence = F.when(i % 5 == 0, "").when(i % 5 == 1, "not there").otherwise(F.upper(F.substring("narrative", 3, 25)))
+    quote = F.when(i % 7 == 3, "missing quote").when(i % 7 == 4, "").otherwise(F.substring("criterion", 1, 30))
+    label = F.when(F.col("turn") % 4 == 1, F.when(i % 2 == 0, "satisfied").otherwise("unverifiable")).when(F.col("turn") % 4 == 3, F.when(i % 9 == 0, "maybe").otherwise("violated")).otherwise("satisfied")
+    return p.select("conv_id", "turn", decisions.check_reason(label, quote, F.col("criterion"), evidence, F.col("narrative")).alias("reject_reason"))
+
+
+@query(f"WITH {CHECKED} SELECT * FROM checked")
+def grounding_check(spark, d):
+    return checked(spark, d)
+
+
+@query(f"WITH {CHECKED} SELECT * FROM (SELECT reject_reason, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM checked GROUP BY reject_reason) WHERE reject_reason IS NOT NULL")
+def rejection_summary(spark, d):
+    return decisions.rejection_summary(checked(spark, d))
+
+
+def _reranked(demote: str) -> str:
+    return f"WITH {DEC}, {INFER} SELECT topic_id, nct_id, round(CASE WHEN s.strict IS NULL THEN tie {demote} ELSE 1000 + 100 * s.strict + tie END, 9) AS score FROM (SELECT *, (size - (rank - 1))::DOUBLE / (size + 1) AS tie FROM ranked) LEFT JOIN scores s USING (topic_id, nct_id)"
+
+
+@query(_reranked(""))
+def rerank_by_eligibility(spark, d):
+    return decisions.rerank_by_eligibility(base_run(spark, d).drop("rel"), scored(spark, d))
+
+
+@query(_reranked("WHEN s.strict = 0 THEN -1000 + tie"))
+def rerank_demote(spark, d):
+    return decisions.rerank_by_eligibility(base_run(spark, d).drop("rel"), scored(spark, d), demote=True)
+
+
+@query(f"""WITH {DEC}, {INFER}, c AS (SELECT count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn, count(*) FILTER (NOT p AND NOT g) AS tn FROM (SELECT strict > 0 AS p, rel = 2 AS g FROM scores JOIN base USING (topic_id, nct_id)))
+  SELECT *, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 6) AS accuracy FROM c""")
+def confusion_prf1(spark, d):
+    return decisions.confusion(scored(spark, d), base_run(spark, d).select("topic_id", F.col("nct_id").alias("doc_id"), "rel"))
+
+
+_STATS = "SELECT count(*) AS n, count(*) FILTER (label = 'satisfied') AS satisfied, count(*) FILTER (label = 'violated') AS violated, count(*) FILTER (label = 'unverifiable') AS unverifiable, round(count(*) FILTER (label = 'unverifiable')::DOUBLE / count(*), 6) AS abstention FROM"
+
+
+@query(f"WITH {DEC} {_STATS} dec")
+def label_stats_abstention(spark, d):
+    return decisions.label_stats(decided(spark, d)[1])
+
+
+@query(f"WITH {DEC} {_STATS} (SELECT CASE WHEN label = 'unverifiable' THEN CASE section WHEN 'exclusion' THEN 'violated' ELSE 'satisfied' END ELSE label END AS label FROM dec)")
+def forced_ablation(spark, d):
+    forced = F.when(F.col("label") != "unverifiable", F.col("label")).when(F.col("section") == "exclusion", "violated").otherwise("satisfied")
+    return decisions.label_stats(decided(spark, d)[1].withColumn("label", forced))
+
+
+_SUPPORTS = "len(list_intersect(list_distinct(regexp_extract_all(lower(patient_evidence), '[a-z0-9]{4,}')), list_distinct(regexp_extract_all(lower(criterion_quote), '[a-z0-9]{4,}')))) > 0"
+
+
+@query(f"WITH {DEC} SELECT topic_id, nct_id, criterion_idx, {_SUPPORTS} AS supported FROM dec")
+def content_overlap_supports(spark, d):
+    return decided(spark, d)[1].select("topic_id", "nct_id", "criterion_idx", X.supports(F.col("patient_evidence"), F.col("criterion_quote")).alias("supported"))
+
+
+@query(f"WITH {DEC} SELECT topic_id, nct_id, coalesce(n_kept, 0) AS n_kept FROM pairs LEFT JOIN (SELECT topic_id, nct_id, count(*) AS n_kept FROM dec WHERE label = 'unverifiable' OR {_SUPPORTS} GROUP BY ALL) USING (topic_id, nct_id)")
+def relevance_filter(spark, d):
+    return decisions.relevance_filtered(*decided(spark, d))
+
+
+@query(f"WITH {DEC}, f AS (SELECT DISTINCT topic_id FROM pairs ORDER BY topic_id LIMIT 20) SELECT topic_id, nct_id FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY nct_id) AS k FROM pairs JOIN f USING (topic_id)) WHERE k <= 3")
+def sample_pairs_per_topic(spark, d):
+    return decisions.sample_per_topic(decided(spark, d)[0], 20, 3)
+
+
+# ---- errors and reports -----------------------------------------------------------------------------------------------------
+
+CASES = "cases AS (SELECT topic_id, nct_id, strict FROM base LEFT JOIN scores USING (topic_id, nct_id) WHERE rel = 1)"
+NARRATIVE = "'user reported error and purchase'"
+_EFF = r"CASE WHEN section IN ('inclusion', 'exclusion') THEN section WHEN regexp_matches(criterion_quote, '(?i)^\s*(?:no|not|none|without|absence of|free of)\b') THEN 'exclusion' ELSE section END"
+
+
+def _cases(spark, d):
+    s = scored(spark, d).select("topic_id", "nct_id", "strict")
+    c = base_run(spark, d).where("rel = 1").select("topic_id", "nct_id").join(s, ["topic_id", "nct_id"], "left")
+    return c.withColumn("reasoned", F.col("strict").isNotNull()), c.select("topic_id").distinct().withColumn("narrative", F.lit("user reported error and purchase"))
+
+
+@query(f"""WITH {DEC}, {INFER}, {CASES}, f AS (SELECT topic_id, nct_id, count(*) FILTER (eff = 'exclusion') AS x, count(*) FILTER (label = 'unverifiable' AND len(list_intersect(list_filter(regexp_extract_all(lower(criterion_quote), '[a-z][a-z0-9\\-]{{4,}}'), lambda w: w NOT IN ('known', 'prior')), ['reported', 'error', 'purchase'])) >= 2) AS said, count(*) FILTER (label = 'satisfied' AND eff = 'exclusion' AND trim(patient_evidence) <> '') AS cleared FROM (SELECT *, {_EFF} AS eff FROM dec) GROUP BY ALL),
+  vis AS (SELECT nct_id, count(DISTINCT event_type) AS n_criteria, bool_or(event_type = 'error') AS has_exclusion_header FROM ev GROUP BY nct_id)
+  SELECT topic_id, nct_id, CASE WHEN strict IS NULL THEN 'unreasoned' WHEN strict = 0 THEN 'flagged' WHEN coalesce(x, 0) = 0 AND has_exclusion_header THEN 'parsing' WHEN n_criteria <= 2 THEN 'parsing' WHEN said > 0 THEN 'extraction' WHEN cleared > 0 THEN 'reasoning' ELSE 'ambiguous' END AS bucket FROM cases LEFT JOIN f USING (topic_id, nct_id) LEFT JOIN vis USING (nct_id)""")
+def error_buckets_triage(spark, d):
+    cases, narratives = _cases(spark, d)
+    visible = events(spark, d).groupBy("nct_id").agg(F.countDistinct("event_type").alias("n_criteria"), F.bool_or(F.col("event_type") == "error").alias("has_exclusion_header"))
+    return errors.triage(cases, decided(spark, d)[1], narratives, visible)
+
+
+@query(f"""WITH {DEC}, {INFER}, {CASES}, f AS (SELECT topic_id, nct_id, count(*) AS n, count(*) FILTER (label = 'unverifiable') AS unv, count(*) FILTER (section = 'exclusion' AND label = 'satisfied' AND NOT {_SUPPORTS}) AS zero FROM dec GROUP BY ALL)
+  SELECT bucket, count(*) AS n, count(DISTINCT topic_id) AS n_topics, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (SELECT topic_id, CASE WHEN strict = 0 THEN 'A_ranking_artifact' WHEN zero = 0 AND unv >= 0.6::DOUBLE * n THEN 'C_unverifiable_dominated' WHEN zero = 0 THEN 'D_other' ELSE 'B1_irrelevant_quote' END AS bucket FROM cases JOIN f USING (topic_id, nct_id)) GROUP BY bucket""")
+def error_buckets_phase11(spark, d):
+    cases, narratives = _cases(spark, d)
+    pairs, dec = decided(spark, d)
+    # a criterion of the analogue is its decision's own quote; a record is a pair, so that its criteria are its own
+    own = dec.select(F.concat_ws("|", "topic_id", "nct_id").alias("nct_id"), F.col("criterion_idx").alias("idx"), "section", F.col("criterion_quote").alias("text"))
+    keyed = lambda df: df.withColumn("nct_id", F.concat_ws("|", "topic_id", "nct_id"))
+    return errors.bucket_counts(errors.taxonomy(keyed(cases.where("reasoned")), keyed(dec), narratives, own))
+
+
+@query(f"WITH {DEC}, {INFER} SELECT topic_id, nct_id, strict AS score, n AS n_criteria, sat AS n_satisfied, vio_any AS n_violated, unv AS n_unverifiable, CASE WHEN vio_any > 0 THEN 'Likely ineligible' ELSE 'Potentially eligible' END || ' — ' || (sat + vio_any) || ' of ' || n || ' criteria verified — requires clinician review.' AS headline, l AS labels FROM scores JOIN (SELECT topic_id, nct_id, string_agg(label, ',' ORDER BY criterion_idx) AS l FROM dec GROUP BY ALL) USING (topic_id, nct_id)")
+def trial_cards(spark, d):
+    c = report.trial_cards(scored(spark, d), decided(spark, d)[1])
+    return c.withColumn("labels", F.array_join(F.transform("criteria", lambda r: r["label"]), ",")).drop("criteria")
+
+
+def claims(spark, d) -> DataFrame:
+    says = F.when(F.col("criterion_idx") % 3 == 0, "The record meets item 999.").when(F.col("label") == "violated", "This violates the rule.").otherwise("Nothing to add.")
+    return decided(spark, d)[1].select("topic_id", "nct_id", (F.col("criterion_idx") + F.when(F.col("section") == "unknown", 100).otherwise(0)).alias("criterion_idx"), says.alias("text"))
+
+
+CLAIMS = "claims AS (SELECT topic_id, nct_id, (criterion_idx + CASE section WHEN 'unknown' THEN 100 ELSE 0 END)::INT AS criterion_idx, CASE WHEN criterion_idx % 3 = 0 THEN 'The record meets item 999.' WHEN label = 'violated' THEN 'This violates the rule.' ELSE 'Nothing to add.' END AS text FROM dec)"
+
+
+@query(f"""WITH {DEC}, {INFER}, {CLAIMS} SELECT topic_id, nct_id, (sat + vio_any)::INT AS n_decided, coalesce(c, 0)::INT AS n_claims, unv AS n_unknown_collapsed, least(5, unv)::INT AS n_questions FROM scores
+  LEFT JOIN (SELECT c.topic_id, c.nct_id, count(*) AS c FROM claims c JOIN dec d ON d.topic_id = c.topic_id AND d.nct_id = c.nct_id AND d.criterion_idx = c.criterion_idx WHERE d.label <> 'unverifiable' GROUP BY ALL) USING (topic_id, nct_id)""")
+def report_assemble(spark, d):
+    out = report.assemble(report.trial_cards(scored(spark, d), decided(spark, d)[1]), claims(spark, d))
+    return out.select("topic_id", "nct_id", "n_decided", F.size("claims").alias("n_claims"), "n_unknown_collapsed", F.size("open_questions").alias("n_questions"))
+
+
+@query(f"""WITH {DEC}, {CLAIMS} SELECT c.topic_id, c.nct_id, c.criterion_idx, d.label IS NOT NULL AS c1, CASE WHEN d.label IS NOT NULL THEN CASE WHEN c.text LIKE '%meets%' THEN d.label = 'satisfied' WHEN c.text LIKE '%violates%' THEN d.label = 'violated' ELSE true END END AS c2,
+  CASE WHEN d.label IS NOT NULL THEN c.text NOT LIKE '%999%' END AS c3 FROM claims c LEFT JOIN dec d ON d.topic_id = c.topic_id AND d.nct_id = c.nct_id AND d.criterion_idx = c.criterion_idx""")
+def citation_audit(spark, d):
+    s, dec = scored(spark, d), decided(spark, d)[1]
+    return report.audit_claims(claims(spark, d), dec, report.trial_cards(s, dec))
+
+
+@query(f"WITH {DEC}, {CLAIMS} SELECT median(n) AS median_claims, max(n) AS most, count(*) FILTER (n >= 3) AS at_least_3 FROM (SELECT count(*) AS n FROM claims GROUP BY topic_id, nct_id)")
+def claim_count_stats(spark, d):
+    n = claims(spark, d).groupBy("topic_id", "nct_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.percentile("n", 0.5).alias("median_claims"), F.max("n").alias("most"), F.count_if(F.col("n") >= 3).alias("at_least_3"))
+
+
+# ---- quotas and serving -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS n_before FROM events")
+def quota_sliding_hour(spark, d):
+    return quota.arrivals_in_hour(t(spark, d, "events"), "user_id").select("event_id", "user_id", "n_before")
+
+
+@query()
+def quota_admitted(spark, d):
+    return quota.admitted_batch(t(spark, d, "events"), "user_id", "ts", "event_id")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_requests, coalesce(sum(6) FILTER (event_type <> 'error'), 0)::BIGINT AS used, coalesce(sum(6) FILTER (event_type <> 'error'), 0) > 150 AS over_cap FROM events GROUP BY ALL")
+def quota_daily_cap(spark, d):
+    return quota.daily_usage(t(spark, d, "events"), F.lit(6), F.col("event_type") != "error")
+
+
+@query(f"""{RUNS} SELECT topic_id, doc_id, score, rank FROM {ranked_sql("(SELECT topic_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)")} WHERE rank <= 5""")
+def match_batch(spark, d):
+    return match.match_batch(topics(spark, d), lexical.build_index(t(spark, d, "documents")))
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    """Lexical top 10 of every narrative, and the share of excluded documents among them."""
+    d = "/root/testdata/sf0.001"
+    a, _, q = judged(spark, d)
+    top = lexical.top_k(a, 10, ["topic_id"])
+    return top.join(evaluation.contamination_at(a, q).select("topic_id", F.col("value").alias("contamination_10")), "topic_id", "left")
