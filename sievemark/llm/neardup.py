@@ -36,13 +36,15 @@ class ChosenPath:
     """threshold: least Jaccard similarity of a link; recall: chance that a pair at it is found.
 
     chosen: mean number of tokens that a pair at the threshold goes on by; leaf: largest bucket compared as one;
-    depth: levels of a run; tile: rows of one side of a tile of a dense bucket.
+    dense: a child with such a share of its parent holds sets that are alike, and splitting it again would only repeat
+    it; depth: levels of a run; tile: rows of one side of a tile of a large bucket.
     """
 
     threshold: float = 0.8
     recall: float = 0.99999
     chosen: float = 1.5
-    leaf: int = 100
+    leaf: int = 32
+    dense: float = 0.5
     depth: int = 4
     tile: int = 512
 
@@ -151,19 +153,20 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _step(how: ChosenPath, first: bool):
-    """From (rep, tokens[, node]) to the rows (node, rep) of the next level."""
+    """From (rep, tokens, size[, node]) to the rows (node, rep, size) of the next level; size is the parent's."""
     runs = mix64(np.arange(77, 77 + how.runs, dtype=np.uint64))
     place = np.arange(1, TOKENS + 1, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = mix64(_matrix(batch.column(1), np.uint32, TOKENS).astype(np.uint64) | place)
-            nodes = [np.full((len(keys), 1), r) for r in runs] if first else [batch.column(2).to_numpy().astype(np.uint64).reshape(-1, 1)]
+            nodes = [np.full((len(keys), 1), r) for r in runs] if first else [batch.column(3).to_numpy().astype(np.uint64).reshape(-1, 1)]
             for node in nodes:
                 drawn = mix64(keys ^ mix64(node))
                 row, token = np.nonzero(drawn <= np.uint64(how.cutoff))
                 child = mix64(drawn[row, token] ^ np.uint64(0xC0DE)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(0).take(pa.array(row))], names=["node", "rep"])
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(child), batch.column(0).take(row), batch.column(2).take(row)], names=["node", "rep", "size"])
 
     return run
 
@@ -194,7 +197,8 @@ def _pairs(table: pa.Table, how: ChosenPath) -> Iterator[tuple[np.ndarray, np.nd
     """Pairs of rows that a bucket (node, tile) has to compare exactly: similar enough by their tokens, of two sides where
     the tile has two, and with no smaller bucket in common."""
     node, tile, side = (table.column(k).chunk(0).to_numpy() if table.num_rows else np.zeros(0, np.int64) for k in range(3))
-    tokens = _matrix(table.column("tokens").chunk(0), np.uint32, TOKENS)
+    # eight bits of a token are enough to see which pairs can't reach the threshold
+    tokens = np.ascontiguousarray(_matrix(table.column("tokens").chunk(0), np.uint32, TOKENS).astype(np.uint8))
     lists = table.column("nodes").chunk(0)
     offsets = lists.offsets.to_numpy()
     flat = lists.values.to_numpy()
@@ -230,10 +234,20 @@ def _pairs(table: pa.Table, how: ChosenPath) -> Iterator[tuple[np.ndarray, np.nd
         yield checked(i, i + gap)
     for g in np.flatnonzero(sizes > 32):
         members = np.arange(edge[g], edge[g] + sizes[g])
-        for k in range(0, len(members), 32):
-            i, j = np.meshgrid(members[k : k + 32], members, indexing="ij")
-            later = j > i
-            yield checked(i[later], j[later])
+        # most members of a dense bucket have met in smaller ones: one matrix product finds such pairs before they are compared
+        ids = known[members]
+        row, col = np.nonzero(ids < node[members[0]])
+        _, which, often = np.unique(ids[row, col], return_inverse=True, return_counts=True)
+        use = often >= max(2, len(members) // 20)
+        number = np.cumsum(use) - 1
+        shared = np.zeros((len(members), int(use.sum()) or 1), np.float32)
+        hit = use[which]
+        shared[row[hit], number[which[hit]]] = 1
+        for k in range(0, len(members), 128):
+            block = members[k : k + 128]
+            open_ = (shared[k : k + 128] @ shared.T == 0) & (members[None, :] > block[:, None])
+            i, j = np.nonzero(open_)
+            yield checked(block[i], members[j])
 
 
 def _meet(how: ChosenPath):
@@ -318,18 +332,19 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     reps = signed.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("weight"), F.min(one).alias("_one"))
     reps = written(reps.select("rep", "weight", "_one.doc_id", "_one.loc", "_one.tokens"), "reps")
 
-    # the tree of buckets, all runs at once: levels go on while any bucket is large
-    path = reps.select("rep", "tokens").mapInArrow(_step(how, True), "node long, rep binary")
-    leaves = None
+    # the tree of buckets, all runs at once: levels go on while any bucket is large and not dense
+    rows, leaves = "node long, rep binary, size long", None
+    path = reps.select("rep", "tokens", F.lit(reps.count()).cast("long").alias("size")).mapInArrow(_step(how, True), rows)
     for level in range(1, how.depth + 1):
-        met = path.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level_rows = written(path.join(met, "node").select("node", "rep", "n"), "level")
-        done = level_rows if level == how.depth else level_rows.where(F.col("n") <= how.leaf)
+        met = path.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("of")).where("n > 1")
+        level_rows = written(path.join(met, "node").select("node", "rep", "n", "of"), "level")
+        ends = (F.col("n") <= how.leaf) | (F.col("n") >= how.dense * F.col("of")) | F.lit(level == how.depth)
+        done = level_rows.where(ends).select("node", "rep", "n")
         leaves = done if leaves is None else leaves.unionByName(done)
-        large = level_rows.where(F.col("n") > how.leaf)
+        large = level_rows.where(~ends)
         if level == how.depth or large.isEmpty():
             break
-        path = large.select("node", "rep").join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "node").mapInArrow(_step(how, False), "node long, rep binary")
+        path = large.select("node", "rep", F.col("n").alias("size")).join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "size", "node").mapInArrow(_step(how, False), rows)
 
     # every set with all its buckets, dealt to each of them; a bucket of several tiles gets one row per tile
     known = leaves.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("_b")).join(reps.select("rep", "tokens"), "rep")
