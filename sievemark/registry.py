@@ -306,7 +306,7 @@ def rerank_top100(spark, d):
 
 def _trec(rel: str, run: str = "a") -> str:
     return f"""{QRELS}, g AS (SELECT topic_id, doc_id, {rel} AS rel FROM qrels), r AS (SELECT topic_id, doc_id, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, doc_id) AS rank FROM {run}),
-  ideal AS (SELECT topic_id, count(*) AS big_r, sum(rel / log2(at + 1)) FILTER (at <= 10) AS i10, sum(rel / log2(at + 1)) FILTER (at <= 5) AS i5 FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC, doc_id) AS at FROM g WHERE rel > 0) GROUP BY topic_id),
+  ideal AS (SELECT topic_id, count(*) AS big_r, sum(rel / log2(pl + 1)) FILTER (pl <= 10) AS i10, sum(rel / log2(pl + 1)) FILTER (pl <= 5) AS i5 FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY rel DESC, doc_id) AS pl FROM g WHERE rel > 0) GROUP BY topic_id),
   pool AS (SELECT topic_id, count(*) FILTER (rel <= 0) AS big_n FROM g GROUP BY topic_id),
   j AS (SELECT r.*, rel, coalesce(sum((coalesce(rel, 1) <= 0)::INT) OVER (PARTITION BY r.topic_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nonrel FROM r LEFT JOIN g USING (topic_id, doc_id)),
   e AS (SELECT topic_id, round(coalesce(sum(rel / log2(rank + 1)) FILTER (rel > 0 AND rank <= 10) / any_value(i10), 0), 6) AS ndcg_10, round(coalesce(sum(rel / log2(rank + 1)) FILTER (rel > 0 AND rank <= 5) / any_value(i5), 0), 6) AS ndcg_5,
@@ -577,18 +577,18 @@ def cache_todo_antijoin(spark, d):
 
 @query(f"""WITH {DEC}, ans AS (SELECT topic_id, nct_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id % 4)::INT END AS criterion_idx, event_id AS pos FROM ev), known AS (SELECT DISTINCT nct_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END::INT AS criterion_idx, true AS ok FROM ev),
   x AS (SELECT a.*, ok, row_number() OVER (PARTITION BY topic_id, a.nct_id, a.criterion_idx ORDER BY pos) AS nth FROM ans a LEFT JOIN known k ON k.nct_id = a.nct_id AND k.criterion_idx = a.criterion_idx)
-  SELECT topic_id, nct_id, criterion_idx, pos, CASE WHEN criterion_idx IS NULL THEN 'index_missing' WHEN ok IS NULL THEN 'index_unknown' WHEN nth > 1 THEN 'index_duplicate' END AS reject_reason FROM x""")
+  SELECT topic_id, nct_id, coalesce(criterion_idx, -1) AS criterion_idx, pos, CASE WHEN criterion_idx IS NULL THEN 'index_missing' WHEN ok IS NULL THEN 'index_unknown' WHEN nth > 1 THEN 'index_duplicate' END AS reject_reason FROM x""")
 def index_match_first_wins(spark, d):
     e = events(spark, d)
     answers = e.select("topic_id", "nct_id", F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 4).cast("int")).alias("criterion_idx"), F.col("event_id").alias("pos"))
     known = e.select("nct_id", F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2).alias("idx")).distinct()
-    return decisions.match_answers(answers, known).select("topic_id", "nct_id", "criterion_idx", "pos", "reject_reason")
+    return decisions.match_answers(answers, known).select("topic_id", "nct_id", F.coalesce("criterion_idx", F.lit(-1)).alias("criterion_idx"), "pos", "reject_reason")
 
 
 _SQUASH = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
 CHECKED = f"""checked AS (SELECT conv_id, turn, CASE WHEN label NOT IN ('satisfied', 'violated', 'unverifiable') THEN 'label_invalid' WHEN NOT contains({_SQUASH.format('criterion')}, {_SQUASH.format('quote')}) THEN 'criterion_quote_not_in_criterion'
     WHEN label = 'unverifiable' AND evidence = '' THEN NULL WHEN label <> 'unverifiable' AND trim(evidence) = '' THEN 'patient_evidence_empty' WHEN NOT (length({_SQUASH.format('evidence')}) > 0 AND contains({_SQUASH.format('narrative')}, {_SQUASH.format('evidence')})) THEN 'patient_evidence_not_in_narrative' END AS reject_reason
-  FROM (SELECT a.conv_id, a.turn, u.text AS narrative, a.text AS criterion, CASE a.conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not there' ELSE upper(substr(u.text, 3, 25)) END AS evidence, CASE WHEN a.conv_id % 7 = 3 THEN 'missing quote' WHEN a.conv_id % 7 = 4 THEN '' ELSE substr(a.text, 1, 30) END AS quote,
+  FROM (SELECT a.conv_id, a.turn, u.text AS narrative, a.text AS criterion, CASE a.conv_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not there' ELSE replace(substr(u.text, 3, 25), ' ', '  ') END AS evidence, CASE WHEN a.conv_id % 7 = 3 THEN 'missing quote' WHEN a.conv_id % 7 = 4 THEN '' ELSE substr(a.text, 1, 30) END AS quote,
     CASE a.turn % 4 WHEN 1 THEN CASE WHEN a.conv_id % 2 = 0 THEN 'satisfied' ELSE 'unverifiable' END WHEN 3 THEN CASE WHEN a.conv_id % 9 = 0 THEN 'maybe' ELSE 'violated' END ELSE 'satisfied' END AS label
     FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1 WHERE a.role = 'assistant'))"""
 
@@ -598,7 +598,7 @@ def checked(spark, d) -> DataFrame:
     a = c.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("criterion"))
     p = a.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("narrative")), ["conv_id", "turn"])
     i = F.col("conv_id")
-    evidence = F.when(i % 5 == 0, "").when(i % 5 == 1, "not there").otherwise(F.upper(F.substring("narrative", 3, 25)))
+    evidence = F.when(i % 5 == 0, "").when(i % 5 == 1, "not there").otherwise(F.replace(F.substring("narrative", 3, 25), F.lit(" "), F.lit("  ")))
     quote = F.when(i % 7 == 3, "missing quote").when(i % 7 == 4, "").otherwise(F.substring("criterion", 1, 30))
     label = F.when(F.col("turn") % 4 == 1, F.when(i % 2 == 0, "satisfied").otherwise("unverifiable")).when(F.col("turn") % 4 == 3, F.when(i % 9 == 0, "maybe").otherwise("violated")).otherwise("satisfied")
     return p.select("conv_id", "turn", decisions.check_reason(label, quote, F.col("criterion"), evidence, F.col("narrative")).alias("reject_reason"))
