@@ -26,7 +26,7 @@ def admitted_batch(requests: DataFrame, client: str = "client", at: str = "ts",
 
     State is a fold over the client's requests that holds at most `limit` times, in column expressions.
     """
-    g = requests.groupBy(client).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(key).alias("k")))).alias("rs"))
+    g = requests.groupBy(client).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("timestamp").cast("double").alias("t"), F.col(key).alias("k")))).alias("rs"))
 
     def step(acc: Column, r: Column) -> Column:
         kept = F.filter(acc["times"], lambda t: r["t"] - t <= span)
