@@ -117,7 +117,7 @@ def test_one_of_each_group_stays(spark):
     rows = near_rows(12, 4) + ODD + near_rows(12, 4)[:2]
     kept = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     classes = classes_brute(rows)
-    assert sum(1 for r in kept if r.doc_id is not None and r.doc_id < 12) == len({c for i, c, _ in classes if i.isdigit() and int(i) < 12})
+    assert sum(1 for r in kept if r.doc_id is not None and r.doc_id < 12 and r.text[0] == "w") == len({c for i, c, _ in classes if i.isdigit() and int(i) < 12})
     assert {r.doc_id for r in kept} >= {1000, 1001, 1002, 1004} and 1003 not in {r.doc_id for r in kept}
     assert neardup.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -173,7 +173,7 @@ def test_coder_round_trip(blocks):
 
 def test_frames_and_damage():
     ids = np.tile(np.arange(100), 60)
-    p = rangecoder.pack_frames([ids, ids[:0]], 512)
+    p = rangecoder.pack_frames([ids, ids[:0]])
     assert [x.tolist() for x in rangecoder.unpack_frames(p)] == [ids.tolist(), []]
     assert len(p[0]) < 2 * len(ids) / 4  # what repeats costs little
     bad = bytearray(p[0])
