@@ -88,7 +88,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     A null text or role in a known layout is empty.
     """
     r = F.col("_record")
-    parsed = records.withColumn("_record", F.from_json(F.col(record_col), RECORD))
+    parsed = records.withColumn("_record", F.from_json(F.col(record_col), RECORD, {"maxStringLen": str(2**31 - 1)}))
     parsed = parsed.withColumn("_print", row_fingerprint(r))
 
     def turns(m: Mapping) -> Column:
