@@ -20,10 +20,11 @@ def small(df: DataFrame, n: int | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings(doc_id, term, tf, dl) and terms(term, df); n documents of mean length avgdl. Empty documents count in n."""
+    """A corpus with its statistics: n documents of mean length avgdl. Empty documents count in n."""
 
-    postings: DataFrame
-    terms: DataFrame
+    docs: DataFrame
+    key: str
+    text_col: str
     n: int
     avgdl: float
 
@@ -33,17 +34,20 @@ def term_frequencies(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     return docs.select(F.col(key), F.explode(tokens(F.col(text_col))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, term, tf, dl. The length comes from the row itself, so it needs no second shuffle."""
+def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, dl, of all terms or those given. The length comes from the row itself, and terms that aren't wanted are
+    dropped before anything is shuffled."""
     words = docs.select(F.col(key), tokens(F.col(text_col)).alias("ws"))
-    return words.select(key, F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = words.select(key, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
+    return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Index:
-    """The statistics of a corpus."""
-    p = postings(docs, key, text_col)
+    """The statistics of a corpus, from one pass over its lengths."""
     total = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
-    return Index(p, p.groupBy("term").agg(F.count(F.lit(1)).alias("df")), total.n, (total.dl or 0) / max(total.n, 1))
+    return Index(docs, key, text_col, total.n, (total.dl or 0) / max(total.n, 1))
 
 
 def query_terms(queries: DataFrame, key: str, text_col: str, mode: str = "raw") -> DataFrame:
@@ -52,11 +56,13 @@ def query_terms(queries: DataFrame, key: str, text_col: str, mode: str = "raw")
 
 
 def matched(index: Index, queries: DataFrame, key: str, text_col: str, mode: str = "raw") -> DataFrame:
-    """Postings of query terms with all that a score needs. Terms that no query has are dropped before anything is
-    shuffled, so the corpus is read once, whatever the number of queries or parameters."""
+    """Postings of query terms with all that a score needs. The corpus is tokenised once, whatever the number of queries or
+    parameters: postings and document frequencies share one exchange."""
     q = query_terms(queries, key, text_col, mode)
-    terms = index.terms.join(q.select("term").distinct(), "term", "left_semi")
-    return index.postings.join(small(q.join(terms, "term")), "term")
+    n = q.count()
+    p = postings(index.docs, index.key, index.text_col, small(q.select("term").distinct(), n)).withColumnRenamed(index.key, "doc_id")
+    terms = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return p.join(small(q.join(terms, "term"), n), "term")
 
 
 def weight(index: Index, k1: Column, b: Column) -> Column:

@@ -75,8 +75,10 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str, depth: int = 100) -> tuple[DataFrame, DataFrame]:
-    index = lexical.build_index(t(spark, d, "documents"))
-    return tuple(lexical.search(index, topics(spark, d), "topic_id", "narrative", k1, b, depth) for k1, b in ((0.9, 0.4), (1.8, 1.0)))
+    """Two runs of different parameters, from one pass over the matched postings."""
+    pairs = [(0.9, 0.4), (1.8, 1.0)]
+    both = lexical.search_grid(lexical.build_index(t(spark, d, "documents")), topics(spark, d), pairs, "topic_id", "narrative", depth)
+    return tuple(both.where(F.col("k1") == k1).drop("k1", "b") for k1, _ in pairs)
 
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
