@@ -60,6 +60,11 @@ def check_reason(label: Column, quote: Column, criterion: Column, evidence: Colu
     )
 
 
+def accept(checked: DataFrame) -> DataFrame:
+    """Decisions that hold, with their reasoning cut to its longest length."""
+    return checked.where("reject_reason is null").withColumn("reasoning", F.substring("reasoning", 1, REASONING_CHARS))
+
+
 def rejection_summary(checked: DataFrame) -> DataFrame:
     """reject_reason, n, percent of all decisions, most frequent first."""
     total = F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy(F.lit(1)))

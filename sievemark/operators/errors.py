@@ -23,6 +23,16 @@ def _flags(cases: DataFrame, decisions: DataFrame, narratives: DataFrame) -> Dat
     return d.withColumn("eff", effective_section(F.col("section"), F.col("criterion_quote"))).withColumn("ev", F.coalesce("patient_evidence", F.lit("")))
 
 
+def visible_sections(criteria: DataFrame, records: DataFrame) -> DataFrame:
+    """nct_id, n_criteria, n_inclusion, n_exclusion, n_unknown, has_exclusion_header: what a reasoner was shown of each record, 0 and
+    all for one without criteria. records has (nct_id, criteria_raw)."""
+    sections = ["inclusion", "exclusion", "unknown"]
+    c = criteria.groupBy("nct_id").pivot("section", sections).count().select("nct_id", *(F.col(s).alias(f"n_{s}") for s in sections))
+    names = [f"n_{s}" for s in sections]
+    r = records.select("nct_id", F.coalesce(F.col("criteria_raw").rlike("(?i)exclusion"), F.lit(False)).alias("has_exclusion_header")).join(c, "nct_id", "left").fillna(0, names)
+    return r.select("nct_id", (F.col(names[0]) + F.col(names[1]) + F.col(names[2])).alias("n_criteria"), *names, "has_exclusion_header")
+
+
 def triage(cases: DataFrame, decisions: DataFrame, narratives: DataFrame, visible: DataFrame) -> DataFrame:
     """Cases (topic_id, nct_id, reasoned, strict) with `bucket`, by the first rule that holds: unreasoned, flagged, parsing,
     extraction, reasoning, ambiguous. visible has (nct_id, n_criteria, has_exclusion_header)."""

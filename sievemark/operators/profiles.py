@@ -37,8 +37,11 @@ def profile_summary(profile: Column) -> Column:
     return F.concat(F.lit("A "), who, F.when(terms == "", F.lit("")).otherwise(F.concat(F.lit(" with: "), terms)))
 
 
-def build_query(profile: Column, narrative: Column, mode: str = "prof_narr") -> Column:
-    """`prof`: terms; `prof_narr`: narrative and terms. Without a profile or terms the narrative alone."""
+def build_query(profile: Column, narrative: Column, mode: str = "prof_narr", description: Column | None = None) -> Column:
+    """`prof`: terms; `prof_narr`: narrative and terms; `hyde`: narrative and a written description of what would match. Without
+    a profile, terms or description the narrative alone."""
+    if mode == "hyde":
+        return F.concat_ws("\n", narrative, description)
     terms = F.array_join(profile_terms(profile), " ")
     none = profile.isNull() | (terms == "")
     if mode == "prof":
@@ -66,6 +69,18 @@ def verify_profile(profile: Column, narrative: Column) -> tuple[Column, Column]:
     return F.struct(*(v.alias(k) for k, v in (scalars | lists).items())), reduce(lambda a, b: a + b, map(sizes, lost))
 
 
+def extract_profiles(narratives: DataFrame, provider, template: str = "{narrative}") -> DataFrame:
+    """topic_id, narrative, profile, provider_status: one call per narrative. An unreadable or missing reply keeps its topic, with
+    no profile, so that the narrative itself can be searched with."""
+    from .providers import ask
+
+    requests = narratives.select("topic_id", F.replace(F.lit(template), F.lit("{narrative}"), F.col("narrative")).alias("prompt"))
+    r = ask(requests, provider).select("topic_id", "reply", "prompt_hash")
+    parsed = F.when(F.get_json_object("reply", "$").isNotNull(), parse_profile(F.col("reply")))
+    status = F.when(F.col("reply").isNull(), "none").when(F.col("profile").isNull(), "invalid").otherwise("ok")
+    return narratives.join(r, "topic_id", "left").withColumn("profile", parsed).withColumn("provider_status", status).drop("reply")
+
+
 def n_values(profile: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(profile[f].isNotNull(), 1).otherwise(0) for f in ("age", "sex")] + [F.greatest(F.coalesce(F.size(profile[f]), F.lit(0)), F.lit(0)) for f in LISTS])
 

@@ -722,11 +722,12 @@ def report_assemble(spark, d):
     return out.select("topic_id", "nct_id", "n_decided", F.size("claims").alias("n_claims"), "n_unknown_collapsed", F.size("open_questions").alias("n_questions"))
 
 
-@query(f"""WITH {DEC}, {CLAIMS} SELECT c.topic_id, c.nct_id, c.criterion_idx, d.label IS NOT NULL AS c1, CASE WHEN d.label IS NOT NULL THEN CASE WHEN c.text LIKE '%meets%' THEN d.label = 'satisfied' WHEN c.text LIKE '%violates%' THEN d.label = 'violated' ELSE true END END AS c2,
-  CASE WHEN d.label IS NOT NULL THEN c.text NOT LIKE '%999%' END AS c3 FROM claims c LEFT JOIN dec d ON d.topic_id = c.topic_id AND d.nct_id = c.nct_id AND d.criterion_idx = c.criterion_idx""")
+@query(f"""WITH {DEC}, {CLAIMS} SELECT c.topic_id, c.nct_id, c.criterion_idx, d.label IS NOT NULL AS c1, CASE WHEN d.label IS NULL THEN 'unchecked' WHEN CASE WHEN c.text LIKE '%meets%' THEN d.label = 'satisfied' WHEN c.text LIKE '%violates%' THEN d.label = 'violated' ELSE true END THEN 'true' ELSE 'false' END AS c2,
+  CASE WHEN d.label IS NULL THEN 'unchecked' WHEN c.text NOT LIKE '%999%' THEN 'true' ELSE 'false' END AS c3 FROM claims c LEFT JOIN dec d ON d.topic_id = c.topic_id AND d.nct_id = c.nct_id AND d.criterion_idx = c.criterion_idx""")
 def citation_audit(spark, d):
     s, dec = scored(spark, d), decided(spark, d)[1]
-    return report.audit_claims(claims(spark, d), dec, report.trial_cards(s, dec))
+    a = report.audit_claims(claims(spark, d), dec, report.trial_cards(s, dec))
+    return a.select("topic_id", "nct_id", "criterion_idx", "c1", *(F.coalesce(F.col(c).cast("string"), F.lit("unchecked")).alias(c) for c in ("c2", "c3")))
 
 
 @query(f"WITH {DEC}, {CLAIMS} SELECT median(n) AS median_claims, max(n) AS most, count(*) FILTER (n >= 3) AS at_least_3 FROM (SELECT count(*) AS n FROM claims GROUP BY topic_id, nct_id)")

@@ -112,6 +112,13 @@ def read_cache(spark: SparkSession, path: str, schema: str, prompt_hash: str, st
     return own
 
 
+def load_template(name: str) -> str:
+    """A packaged prompt template."""
+    from importlib.resources import files
+
+    return (files(__package__) / "templates" / f"{name}.txt").read_text(encoding="utf-8")
+
+
 def check_count(df: DataFrame, expected: int) -> None:
     """A data-quality gate: the number of records must be the expected one."""
     n = df.count()

@@ -61,6 +61,12 @@ def log_result(path: str, tag: str, config: dict, aggregate: DataFrame, per_topi
     Path(path).write_text(json.dumps(log, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
 
 
+def write_vectors(vectors: DataFrame, path: str, model: str, chunk_words: int, overlap: int) -> None:
+    """doc_id, chunk_idx, vec, with the model and chunk sizes beside every row (they compress to nothing)."""
+    meta = {"model": model, "chunk_words": chunk_words, "chunk_overlap": overlap}
+    vectors.select("doc_id", "chunk_idx", "vec", *(F.lit(v).alias(k) for k, v in meta.items())).write.mode("overwrite").parquet(path)
+
+
 REPORT_ORDER = ("official/ndcg_10", "official/p_10", "official/recip_rank", "eligible/ndcg_10", "cond/ndcg_10", "elig/contamination_10", "elig/judged_10", "elig/eligible_recall_1000")
 
 

@@ -6,7 +6,9 @@ budget is charged only by requests that finish.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,6 +57,23 @@ def reserve(used: int, estimate: int, cap: int = DAY_CAP) -> bool:
     return used + estimate <= cap
 
 
+class Slots:
+    """At most `limit` requests at a time in this process; one more is refused, not queued."""
+
+    def __init__(self, limit: int = 2):
+        self.free = threading.BoundedSemaphore(limit)
+
+    @contextmanager
+    def take(self) -> Iterator[bool]:
+        """Whether a slot was free; it is given back in any case."""
+        got = self.free.acquire(blocking=False)
+        try:
+            yield got
+        finally:
+            if got:
+                self.free.release()
+
+
 def limit_stream(requests: DataFrame, client: str = "client", at: str = "ts", key: str = "request_id", limit: int = PER_HOUR, span: int = HOUR, watermark: str = "1 hour") -> DataFrame:
     """A stream of requests with `allowed`. State per client is the times that still count; it is dropped once event time has
     passed the last of them, so clients that went away cost nothing."""

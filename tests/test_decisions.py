@@ -93,3 +93,17 @@ def test_headline_and_audit(spark):
     assert r[0].h.startswith("Potentially eligible — 9 of 71") and r[1].h.startswith("Likely ineligible — 3 of 5")
     s = spark.createDataFrame([("Potentially eligible - needs clinician review", True), ("The patient is eligible.", False), ("You should enrol.", False)], "s string, want boolean")
     assert all(x.got == x.want for x in s.select("want", report.audit_summary(F.col("s")).alias("got")).collect())
+
+
+def test_accept_extract_and_sections(spark):
+    from sievemark.operators import errors, profiles
+
+    d = spark.createDataFrame([(None, "x" * 400), ("label_invalid", "y")], "reject_reason string, reasoning string")
+    assert [len(r.reasoning) for r in D.accept(d).collect()] == [300]
+    nar = spark.createDataFrame([("a", "aged 5"), ("b", "bad"), ("c", "none")], "topic_id string, narrative string")
+    replies = {"aged 5": '{"age":{"value":5,"unit":"years","evidence":"aged 5"}}', "bad": "{bad", "none": None}
+    got = {r.topic_id: (r.provider_status, r.profile and r.profile.age.value) for r in profiles.extract_profiles(nar, replies.get).collect()}
+    assert got == {"a": ("ok", 5.0), "b": ("invalid", None), "c": ("none", None)}
+    crit = spark.createDataFrame([("n", "exclusion"), ("n", "inclusion"), ("n", "inclusion")], "nct_id string, section string")
+    recs = spark.createDataFrame([("n", "EXCLUSION: x"), ("m", None)], "nct_id string, criteria_raw string")
+    assert {r.nct_id: tuple(r)[1:] for r in errors.visible_sections(crit, recs).collect()} == {"n": (3, 2, 1, 0, True), "m": (0, 0, 0, 0, False)}

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ NAMES = sorted(k for k in entry.oracle_sql() if not k.startswith(("op", "pipelin
 
 def rows(df):
     df = df[sorted(df.columns)].astype(object)
-    clean = lambda v: "None" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    clean = lambda v: "None" if pd.isna(v) else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(clean, r)) for r in df.itertuples(index=False))
 
 

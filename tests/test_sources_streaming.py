@@ -127,3 +127,15 @@ def test_match_and_serve(spark, tmp_path):
 def test_quantile_by_index(spark):
     df = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "v long")
     assert corpus.quantile_by_index(df, "v", {"p50": 0.5, "p95": 0.95}).first().asDict() == {"p50": 3, "p95": 4}
+
+
+def test_slots_templates_and_vectors(spark, tmp_path):
+    s = quota.Slots(1)
+    with s.take() as a, s.take() as b:
+        assert a and not b
+    with s.take() as a:
+        assert a
+    assert "{narrative}" in readers.load_template("decide")
+    v = spark.createDataFrame([("d", 0, [1.0])], "doc_id string, chunk_idx int, vec array<float>")
+    sinks.write_vectors(v, str(tmp_path / "v"), "m", 320, 40)
+    assert readers.read_vectors(spark, str(tmp_path / "v")).collect() == v.collect()
