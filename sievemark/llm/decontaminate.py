@@ -18,7 +18,7 @@ from .tables import cut, documents, table
 
 # Units of measure and money that make the word after a number a slot.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yard|yards|mi|mile|miles|mg|g|kg|oz|lb|lbs|ton|tons|pound|pounds|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollar|dollars|euro|euros|cent|cents|percent|degree|degrees|watt|watts|volt|volts"
-_NUMBER, _NAME, _UNIT = "\x01", "\x02", "\x03"
+_NUMBER, _NAME, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
 
 
 @dataclass(frozen=True)
@@ -36,37 +36,57 @@ class TemplateMatch:
 def words_of(text: Column) -> Column:
     """The words of a text in lower case; a slot's word begins with the mark of its type.
 
-    Slots are numbers, units after a number, and capitalised words inside a sentence. Every pattern begins with what
-    is rare, so that most characters fail at once.
+    Slots are numbers (with their points and commas), units after a number, and capitalised words. Those at the start of
+    a sentence, or after any other mark, have a type of their own: they count both as name and as word. Every pattern
+    begins with what is rare, so that most characters fail at once.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", " ")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
     numbered = F.regexp_replace(t, r"(\d)(?<![\p{L}\p{N}]\d)(\d*(?:[.,]\d+)*)(?![\p{L}\p{N}])", f"{_NUMBER}$1$2")
     numbered = F.regexp_replace(numbered, rf"({_NUMBER}\S+[ -])((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
-    t = F.when(t.rlike("[0-9]"), numbered).otherwise(t)
+    digits = t.rlike("[0-9]")
+    t = F.when(digits, numbered).otherwise(t)
     t = F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;] .)(\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1$2")
+    t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}{_NAME}{_UNIT}].)(\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{_START}$1$2")
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # separators: ASCII but for letters, digits and marks; points and commas inside numbers part them alike on both sides
-    return F.array_remove(F.split(t, "[\\x00\\x04-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), "")
+    # separators: ASCII but for letters, digits and marks, and points and commas inside a number
+    split = F.when(digits, F.split(t, "[\\x00\\x05-\\x2B\\x2D\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[.,](?!(?<=\\d.)\\d+(?![\\p{L}\\p{N}]))"))
+    return F.array_remove(split.otherwise(F.split(t, "[\\x00\\x05-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), "")
 
 
-def hashed(df: DataFrame, window: int) -> DataFrame:
-    """Adds `hashes` to `words`: of all windows of so many words (a power of two), a slot counting by its type only.
+def _as_word(w: Column) -> Column:
+    """A sentence's first word counts as a word, other slots by their type."""
+    return F.when(F.ascii(w) < 4, F.xxhash64(F.substring(w, 1, 1))).when(F.ascii(w) == 4, F.xxhash64(F.substring(w, 2, 1 << 30))).otherwise(F.xxhash64(w))
+
+
+def _as_name(w: Column) -> Column:
+    """A sentence's first word counts as a name."""
+    return F.when(F.ascii(w) < 5, F.xxhash64(F.translate(F.substring(w, 1, 1), _START, _NAME))).otherwise(F.xxhash64(w))
+
+
+#: Ways to read a word in a window, by the bit that stands for them.
+READINGS = {1: _as_word, 2: _as_name}
+
+
+def hashed(df: DataFrame, window: int, readings: dict = READINGS) -> DataFrame:
+    """Adds `h1`, `h2`, ... to `words`: of all windows of so many words (a power of two), one hash by each reading.
 
     Windows double: each step joins two neighbours of half the length. Steps are columns of their own, as an
     expression that holds another one twice would be computed twice.
     """
-    df = df.withColumn("hashes", F.transform("words", lambda w: F.when(F.ascii(w) < 4, F.xxhash64(F.substring(w, 1, 1))).otherwise(F.xxhash64(w))))
-    width = 1
-    while width < window:
-        left = F.slice("hashes", 1, F.greatest(F.size("hashes") - width, F.lit(0)))
-        df = df.withColumn("hashes", F.zip_with(left, F.slice("hashes", 1 + width, F.size("hashes")), lambda a, b: F.xxhash64(a, b)))
-        width *= 2
+    for k, reading in readings.items():
+        df = df.withColumn(f"h{k}", F.transform("words", reading))
+        width = 1
+        while width < window:
+            left = F.slice(f"h{k}", 1, F.greatest(F.size(f"h{k}") - width, F.lit(0)))
+            df = df.withColumn(f"h{k}", F.zip_with(left, F.slice(f"h{k}", 1 + width, F.size(f"h{k}")), lambda a, b: F.xxhash64(a, b)))
+            width *= 2
     return df
 
 
 def benchmark_windows(items: DataFrame, item_col: str, item_text_col: str, how: TemplateMatch) -> DataFrame:
-    """hash, item, pos, width, n_windows of all benchmark windows that have enough plain words. Items shorter than a window
-    have windows of the next smaller power of two, down to four words."""
+    """hash, item, pos, width, views, of1, of2 of all benchmark windows that have enough plain words. Items shorter than a
+    window have windows of the next smaller power of two, down to four words. views has the bits of the readings with
+    that hash; of1 and of2 count an item's windows by reading."""
     p = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words"))
     size = F.size("words")
     p = p.withColumn("width", F.when(size >= how.window, how.window).when(size >= 4, F.expr("int(power(2, floor(log2(size(words)))))")))
@@ -75,10 +95,18 @@ def benchmark_windows(items: DataFrame, item_col: str, item_text_col: str, how:
         widths.append(hashed(p.where(F.col("width") == w), w))
         w *= 2
     p = reduce(DataFrame.unionByName, widths)
-    p = p.select("item", "words", "width", F.posexplode_outer("hashes").alias("pos", "hash"))
-    plain = F.size(F.filter(F.slice("words", F.col("pos") + 1, F.col("width")), lambda x: F.ascii(x) >= 4))
-    p = p.where(plain >= F.least(F.lit(how.least_words), F.col("width")))
-    return p.withColumn("n_windows", F.count(F.lit(1)).over(Window.partitionBy("item"))).select("hash", "item", "pos", "width", "n_windows")
+    p = p.select("item", "words", "width", F.posexplode_outer(F.arrays_zip(*(f"h{k}" for k in READINGS))).alias("pos", "h"))
+    part = F.slice("words", F.col("pos") + 1, F.col("width"))
+    enough = {k: F.size(F.filter(part, lambda x, k=k: F.ascii(x) >= 3 + k)) >= F.least(F.lit(how.least_words), F.col("width")) for k in READINGS}
+    p = p.withColumn("one", F.explode(F.array_compact(F.array(*(F.when(enough[k], F.struct(F.lit(k).alias("view"), F.col(f"h.h{k}").alias("hash"))) for k in READINGS)))))
+    p = p.groupBy("item", "pos", "width", "one.hash").agg(F.bit_or("one.view").alias("views"))
+    of = [F.sum(F.sign(F.col("views").bitwiseAND(k)).cast("long")).over(Window.partitionBy("item")).alias(f"of{k}") for k in READINGS]
+    return p.select("hash", "item", "pos", "width", "views", *of)
+
+
+def _value(pair: Column) -> Column:
+    """A pair of slots with names of both kinds alike."""
+    return F.struct(F.translate(pair["i"], _START, _NAME).alias("i"), F.translate(pair["d"], _START, _NAME).alias("d"))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", how: TemplateMatch = TemplateMatch()) -> DataFrame:
@@ -86,7 +114,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
 
     n_windows and share are the most windows of the item that one alignment with the document shares, n_changed the
     slots there whose values differ: 0 is a verbatim leak, more a re-parameterised one. A slot's value in the item must
-    have one value throughout the alignment. Null and empty texts have no windows and match nothing; items of fewer
+    have one value throughout the alignment. A capitalised word at the start of a sentence matches as a word or as a name. Null and empty texts have no windows and match nothing; items of fewer
     than four words are not searched. Rows with equal ids count as one document, null as an id like others.
     """
     bench = cut(benchmark_windows(items, item_col, item_text_col, how))
@@ -97,13 +125,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
     d = docs.select(F.col(id_col).alias("doc"), words_of(F.col(text_col)).alias("words"))
     hits = None
     for w in sorted(widths):
-        found = hashed(d, w).select("doc", F.posexplode_outer("hashes").alias("at", "hash"))
-        of = bench.where(F.col("width") == w).select("hash", "item", "pos", "n_windows")
-        part = found.join(F.broadcast(of) if small else of, "hash").select("doc", "item", "n_windows", "pos", (F.col("at") - F.col("pos")).alias("shift"), F.lit(w).alias("width"))
+        found = hashed(d, w).select("doc", F.posexplode_outer(F.arrays_zip(*(f"h{k}" for k in READINGS))).alias("at", "h"))
+        found = found.select("doc", "at", F.explode(F.array_distinct(F.array(*(F.col(f"h.h{k}") for k in READINGS)))).alias("hash"))
+        of = bench.where(F.col("width") == w).drop("width")
+        part = found.join(F.broadcast(of) if small else of, "hash").select("doc", "item", "views", "of1", "of2", "pos", (F.col("at") - F.col("pos")).alias("shift"), F.lit(w).alias("width"))
         hits = part if hits is None else hits.unionByName(part)
-    # alignments with enough windows; distinct, as rows of one id may repeat
-    runs = hits.groupBy("doc", "item", "shift", "width").agg(F.countDistinct("pos").alias("n"), F.first("n_windows").alias("of"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    runs = cut(runs.where(F.col("n") >= F.least(F.lit(how.least_windows), F.col("of"))))
+    # alignments with enough windows; each place of an item once, as rows of one id may repeat
+    hits = hits.groupBy("doc", "item", "shift", "width", "pos").agg(F.bit_or("views").alias("views"), F.first("of1").alias("of1"), F.first("of2").alias("of2"))
+    by = [F.count_if(F.col("views").bitwiseAND(k) > 0).alias(f"n{k}") for k in READINGS]
+    runs = hits.groupBy("doc", "item", "shift", "width").agg(F.count(F.lit(1)).alias("n"), *by, F.first("of1").alias("of1"), F.first("of2").alias("of2"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    whole = {k: (F.col(f"of{k}") > 0) & (F.col(f"n{k}") >= F.least(F.lit(how.least_windows), F.col(f"of{k}"))) for k in READINGS}
+    enough = (F.col("n") >= how.least_windows) | whole[1] | whole[2]
+    runs = cut(runs.where(enough).withColumn("of", F.col("of1")).withColumn("as_words", whole[1]))
     # slots of both sides of each alignment: few texts are read again
     wanted = runs.select("doc").distinct()
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
@@ -113,11 +146,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
     both = both.join(texts, F.col("_d").eqNullSafe(F.col("doc"))).join(item_words, F.col("_i").eqNullSafe(F.col("item")))
     length = F.col("high") - F.col("low") + F.col("width")
     theirs = F.slice("d_words", F.greatest(F.lit(1), F.col("low") + F.col("shift") + 1), length)
-    slots = F.filter(F.arrays_zip(F.slice("i_words", F.col("low") + 1, length).alias("i"), theirs.alias("d")), lambda x: (F.ascii(x["i"]) < 4) & (F.ascii(x["d"]) < 4))
-    both = both.withColumn("slots", F.array_distinct(slots))
+    pairs = F.filter(F.arrays_zip(F.slice("i_words", F.col("low") + 1, length).alias("i"), theirs.alias("d")), lambda x: (F.ascii(x["i"]) < 5) & (F.ascii(x["d"]) < 5))
+    both = both.withColumn("pairs", F.array_distinct(pairs))
+    # a sentence's first word must be consistent only where the alignment needs it to be a name
+    named = F.transform(F.filter("pairs", lambda x: ~F.col("as_words") | (F.ascii(x["i"]) < 4) & (F.ascii(x["d"]) < 4)), _value)
+    both = both.withColumn("slots", F.array_distinct(named)).withColumn("pairs", F.array_distinct(F.transform("pairs", _value)))
     # distinct pairs of values are a function of the item's value if no value of the item stands in two of them
     both = both.where(F.size(F.array_distinct(F.transform("slots", lambda x: x["i"]))) == F.size("slots"))
-    changed = F.size(F.filter("slots", lambda x: x["i"] != x["d"]))
+    changed = F.size(F.filter("pairs", lambda x: x["i"] != x["d"]))
     best = F.max(F.struct(F.col("n").cast("long").alias("n_windows"), (F.col("n") / F.col("of")).alias("share"), (-changed).cast("long").alias("c")))
     out = both.groupBy("doc", "item").agg(best.alias("b"))
     return out.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.n_windows", "b.share", (-F.col("b.c")).alias("n_changed"))

@@ -151,6 +151,17 @@ def test_parameters_may_change_but_consistently(spark):
     assert {r.doc_id for r in decontaminate.find_leaks(df, items, how=shuffled).collect()} == {1, None}
 
 
+def test_decimals_thousands_and_first_names_are_slots(spark):
+    item = "the {0} shop on the corner sold {1} loaves of dark bread to the people of it. {2} was glad."
+    first = "{2} has {1} apples and gives some of them away. {2} then buys bread from the old shop near the river bank."
+    items = spark.createDataFrame([(1, item.format("old", "3.50", "Tom")), (2, first.format("", "12", "Tom"))], "item_id long, text string")
+    rows = [(1, item.format("old", "4.25", "Tom")), (2, item.format("old", "1,200", "Tom")), (3, item.format("old", "7", "Ann")), (4, first.format("", "12.5", "Ann")), (5, "we asked " + first.format("", "9", "Ann")), (6, "nothing of it 3.50")]
+    got = {(r.doc_id, r.item_id): r.n_changed for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 1): 1, (2, 1): 1, (3, 1): 2, (4, 2): 2, (5, 2): 2}
+    words = spark.range(1).select(decontaminate.words_of(F.lit("Costs 1,200.50, v1.2 or 1,2a.")).alias("w")).first().w
+    assert [w.lstrip("\x01\x04") for w in words] == ["costs", "1,200.50", "v1", "2", "or", "1", "2a"]
+
+
 @needs_data
 def test_verbatim_leaks_by_brute_force(spark):
     docs, items = ({r[0]: r.text for r in spark.read.parquet(f"{D}/{t}.parquet").collect()} for t in ("documents", "benchmark"))
