@@ -18,6 +18,8 @@ from .tables import cut, documents, table
 
 # Units of measure and money that make the word after a number a slot.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yard|yards|mi|mile|miles|mg|g|kg|oz|lb|lbs|ton|tons|pound|pounds|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollar|dollars|euro|euros|cent|cents|percent|degree|degrees|watt|watts|volt|volts"
+#: Scripts that put no spaces between words: each character, with its marks, is a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
 _NUMBER, _NAME, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
 
 
@@ -41,6 +43,7 @@ def words_of(text: Column) -> Column:
     begins with what is rare, so that most characters fail at once.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
+    t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
     numbered = F.regexp_replace(t, r"(\d)(?<![\p{L}\p{N}]\d)(\d*(?:[.,]\d+)*)(?![\p{L}\p{N}])", f"{_NUMBER}$1$2")
     numbered = F.regexp_replace(numbered, rf"({_NUMBER}\S+[ -])((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
     digits = t.rlike("[0-9]")
@@ -63,11 +66,17 @@ def _as_name(w: Column) -> Column:
     return F.when(F.ascii(w) < 5, F.xxhash64(F.translate(F.substring(w, 1, 1), _START, _NAME))).otherwise(F.xxhash64(w))
 
 
+def _as_value(w: Column) -> Column:
+    """Slots count by their value like any word."""
+    return F.xxhash64(F.translate(w, _NUMBER + _NAME + _UNIT + _START, ""))
+
+
 #: Ways to read a word in a window, by the bit that stands for them.
-READINGS = {1: _as_word, 2: _as_name}
+READINGS = {1: _as_word, 2: _as_name, 4: _as_value}
+OF = [f"of{k}" for k in READINGS]
 
 
-def hashed(df: DataFrame, window: int, readings: dict = READINGS) -> DataFrame:
+def hashed(df: DataFrame, window: int, readings: dict) -> DataFrame:
     """Adds `h1`, `h2`, ... to `words`: of all windows of so many words (a power of two), one hash by each reading.
 
     Windows double: each step joins two neighbours of half the length. Steps are columns of their own, as an
@@ -84,23 +93,27 @@ def hashed(df: DataFrame, window: int, readings: dict = READINGS) -> DataFrame:
 
 
 def benchmark_windows(items: DataFrame, item_col: str, item_text_col: str, how: TemplateMatch) -> DataFrame:
-    """hash, item, pos, width, views, of1, of2 of all benchmark windows that have enough plain words. Items shorter than a
-    window have windows of the next smaller power of two, down to four words. views has the bits of the readings with
-    that hash; of1 and of2 count an item's windows by reading."""
+    """hash, item, pos, width, views, of1, of2, of4 of all benchmark windows that count. Items shorter than a window have
+    windows of the next smaller power of two. Windows with slots need enough plain words, and four words; items that have
+    few or none of them are searched by the values of all their words, too. views has the bits of the readings with that
+    hash; of1, of2 and of4 count an item's windows by reading."""
     p = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text_col)).alias("words"))
     size = F.size("words")
-    p = p.withColumn("width", F.when(size >= how.window, how.window).when(size >= 4, F.expr("int(power(2, floor(log2(size(words)))))")))
-    widths, w = [], 4
+    p = p.withColumn("width", F.when(size >= how.window, how.window).when(size >= 1, F.expr("int(power(2, floor(log2(size(words)))))")))
+    widths, w = [], 1
     while w <= how.window:
-        widths.append(hashed(p.where(F.col("width") == w), w))
+        widths.append(hashed(p.where(F.col("width") == w), w, READINGS))
         w *= 2
     p = reduce(DataFrame.unionByName, widths)
     p = p.select("item", "words", "width", F.posexplode_outer(F.arrays_zip(*(f"h{k}" for k in READINGS))).alias("pos", "h"))
     part = F.slice("words", F.col("pos") + 1, F.col("width"))
-    enough = {k: F.size(F.filter(part, lambda x, k=k: F.ascii(x) >= 3 + k)) >= F.least(F.lit(how.least_words), F.col("width")) for k in READINGS}
+    enough = {k: (F.col("width") >= 4) & (F.size(F.filter(part, lambda x, k=k: F.ascii(x) >= 3 + k)) >= F.least(F.lit(how.least_words), F.col("width"))) for k in (1, 2)}
+    # what precedes an item can change its first word's slot, hence one window to spare
+    p = p.withColumn("typed", F.count_if(enough[1]).over(Window.partitionBy("item")))
+    enough[4] = F.col("typed") <= how.least_windows
     p = p.withColumn("one", F.explode(F.array_compact(F.array(*(F.when(enough[k], F.struct(F.lit(k).alias("view"), F.col(f"h.h{k}").alias("hash"))) for k in READINGS)))))
     p = p.groupBy("item", "pos", "width", "one.hash").agg(F.bit_or("one.view").alias("views"))
-    of = [F.sum(F.sign(F.col("views").bitwiseAND(k)).cast("long")).over(Window.partitionBy("item")).alias(f"of{k}") for k in READINGS]
+    of = [F.count_if(F.col("views").bitwiseAND(k) > 0).over(Window.partitionBy("item")).alias(f"of{k}") for k in READINGS]
     return p.select("hash", "item", "pos", "width", "views", *of)
 
 
@@ -114,29 +127,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
 
     n_windows and share are the most windows of the item that one alignment with the document shares, n_changed the
     slots there whose values differ: 0 is a verbatim leak, more a re-parameterised one. A slot's value in the item must
-    have one value throughout the alignment. A capitalised word at the start of a sentence matches as a word or as a name. Null and empty texts have no windows and match nothing; items of fewer
-    than four words are not searched. Rows with equal ids count as one document, null as an id like others.
+    have one value throughout the alignment. A capitalised word at the start of a sentence matches as a word or as a name. Null and empty texts have no windows and match nothing; items with few
+    windows are also found verbatim, by all their words in a row, which for an item of one word is that word anywhere. Rows with equal ids count as one document, null as an id like others.
     """
     bench = cut(benchmark_windows(items, item_col, item_text_col, how))
-    widths = [r.width for r in bench.select("width").distinct().collect()]  # at most the powers of two up to the window
-    if not widths:
+    # at most the powers of two up to the window, and the readings that any of their windows needs
+    needed = {r.width: r.views for r in bench.groupBy("width").agg(F.bit_or("views").alias("views")).collect()}
+    if not needed:
         return _empty(docs, items, id_col, item_col)
     small = bench.count() <= how.broadcast_windows
     d = docs.select(F.col(id_col).alias("doc"), words_of(F.col(text_col)).alias("words"))
     hits = None
-    for w in sorted(widths):
-        found = hashed(d, w).select("doc", F.posexplode_outer(F.arrays_zip(*(f"h{k}" for k in READINGS))).alias("at", "h"))
-        found = found.select("doc", "at", F.explode(F.array_distinct(F.array(*(F.col(f"h.h{k}") for k in READINGS)))).alias("hash"))
+    for w in sorted(needed):
+        readings = {k: f for k, f in READINGS.items() if needed[w] & k}
+        found = hashed(d, w, readings).select("doc", F.posexplode_outer(F.arrays_zip(*(f"h{k}" for k in readings))).alias("at", "h"))
+        found = found.select("doc", "at", F.explode(F.array_distinct(F.array(*(F.col(f"h.h{k}") for k in readings)))).alias("hash"))
         of = bench.where(F.col("width") == w).drop("width")
-        part = found.join(F.broadcast(of) if small else of, "hash").select("doc", "item", "views", "of1", "of2", "pos", (F.col("at") - F.col("pos")).alias("shift"), F.lit(w).alias("width"))
+        part = found.join(F.broadcast(of) if small else of, "hash").select("doc", "item", "views", *OF, "pos", (F.col("at") - F.col("pos")).alias("shift"), F.lit(w).alias("width"))
         hits = part if hits is None else hits.unionByName(part)
     # alignments with enough windows; each place of an item once, as rows of one id may repeat
-    hits = hits.groupBy("doc", "item", "shift", "width", "pos").agg(F.bit_or("views").alias("views"), F.first("of1").alias("of1"), F.first("of2").alias("of2"))
+    firsts = [F.first(of).alias(of) for of in OF]
+    hits = hits.groupBy("doc", "item", "shift", "width", "pos").agg(F.bit_or("views").alias("views"), *firsts)
     by = [F.count_if(F.col("views").bitwiseAND(k) > 0).alias(f"n{k}") for k in READINGS]
-    runs = hits.groupBy("doc", "item", "shift", "width").agg(F.count(F.lit(1)).alias("n"), *by, F.first("of1").alias("of1"), F.first("of2").alias("of2"), F.min("pos").alias("low"), F.max("pos").alias("high"))
-    whole = {k: (F.col(f"of{k}") > 0) & (F.col(f"n{k}") >= F.least(F.lit(how.least_windows), F.col(f"of{k}"))) for k in READINGS}
-    enough = (F.col("n") >= how.least_windows) | whole[1] | whole[2]
-    runs = cut(runs.where(enough).withColumn("of", F.col("of1")).withColumn("as_words", whole[1]))
+    runs = hits.groupBy("doc", "item", "shift", "width").agg(F.count_if(F.col("views").bitwiseAND(3) > 0).alias("n"), *by, *firsts, F.min("pos").alias("low"), F.max("pos").alias("high"))
+    whole = {k: (F.col(f"of{k}") > 0) & (F.col(f"n{k}") >= F.least(F.lit(how.least_windows), F.col(f"of{k}"))) for k in (1, 2)}
+    verbatim = (F.col("of4") > 0) & (F.col("n4") == F.col("of4"))
+    runs = runs.where((F.col("n") >= how.least_windows) | whole[1] | whole[2] | verbatim).withColumn("as_words", whole[1] | verbatim)
+    # an item found by its values alone counts its windows by them
+    runs = cut(runs.withColumn("n", F.when(verbatim, F.greatest("n4", "n")).otherwise(F.col("n"))).withColumn("of", F.when(verbatim, F.greatest("of4", "of1")).otherwise(F.col("of1"))))
     # slots of both sides of each alignment: few texts are read again
     wanted = runs.select("doc").distinct()
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))

@@ -162,6 +162,14 @@ def test_decimals_thousands_and_first_names_are_slots(spark):
     assert [w.lstrip("\x01\x04") for w in words] == ["costs", "1,200.50", "v1", "2", "or", "1", "2a"]
 
 
+def test_short_and_slot_rich_items_are_found_verbatim(spark):
+    texts = ["What is 12 plus 35?", "Solve 3 x + 4 = 19 for x.", "Compute 3 + 4 * 5 - 6 / 2 + 8 * 9 - 10.", "Photosynthesis equation", "\u6c34\u306e\u6cb8\u70b9\u306f\u4f55\u5ea6\u3067\u3059\u304b", "Every child in that small town can read and write a long letter"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(k, f"and so the question {x} and more") for k, x in enumerate(texts)] + [(4, "\u554f\u984c" + texts[4] + "\u7b54"), (7, "what is 12 plus 36 and solve 3 x"), (8, None), (9, "")]
+    got = {(r.doc_id, r.item_id): (r.share, r.n_changed) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(k, k): (1.0, 0) for k in range(len(texts))}
+
+
 @needs_data
 def test_verbatim_leaks_by_brute_force(spark):
     docs, items = ({r[0]: r.text for r in spark.read.parquet(f"{D}/{t}.parquet").collect()} for t in ("documents", "benchmark"))
