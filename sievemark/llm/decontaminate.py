@@ -183,9 +183,12 @@ def _empty(docs: DataFrame, items: DataFrame, id_col: str, item_col: str) -> Dat
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", how: TemplateMatch = TemplateMatch()) -> DataFrame:
-    """The rows of documents into which no benchmark item has leaked."""
-    gone = cut(find_leaks(docs, items, text_col, id_col, item_col, item_text_col, how).select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= how.broadcast_windows else gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of documents into which no benchmark item has leaked; rows are told apart by id and text."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at")).alias("_key"), F.col(text_col))
+    gone = cut(find_leaks(keyed, items, text_col, "_key", item_col, item_text_col, how).select(F.col("_key.id").alias("_gone"), F.col("_key.at").alias("_gone_at")).distinct())
+    kept = docs.withColumn("_at", F.xxhash64(text_col))
+    on = kept[id_col].eqNullSafe(gone["_gone"]) & (kept["_at"] == gone["_gone_at"])
+    return kept.join(F.broadcast(gone) if gone.count() <= how.broadcast_windows else gone, on, "left_anti").drop("_at")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

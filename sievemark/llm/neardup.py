@@ -325,10 +325,15 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     linked to nothing and are their own class. Ids may repeat or be null; `loc` hashes the text and tells such rows
     apart. An empty table gives an empty result.
     """
+    return _judged(docs, text_col, id_col, how).drop("keep_loc")
+
+
+def _judged(docs: DataFrame, text_col: str, id_col: str, how: ChosenPath) -> DataFrame:
+    """The columns of jaccard_join and keep_loc: with class_id, the id and text of the one row that stands for the group."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("loc"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, loc long, rep binary, tokens binary"), "signed")
-    one = F.struct("doc_id", "loc", "tokens")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc", "tokens")  # null ids last
     reps = signed.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("weight"), F.min(one).alias("_one"))
     reps = written(reps.select("rep", "weight", "_one.doc_id", "_one.loc", "_one.tokens"), "reps")
 
@@ -369,30 +374,35 @@ def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     found = components(linked, "rep", "root")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    r = reps.select("rep", "weight", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    r = r.select("rep", "doc_id", F.coalesce("root", "rep").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    classes = r.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    r = r.join(classes, "root").select("rep", "class_id", "n_links")
+    r = reps.select("rep", "weight", "doc_id", "loc").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
+    r = r.select("rep", "doc_id", "loc", F.coalesce("root", "rep").alias("root"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc"))
+    classes = r.groupBy("root").agg(first.alias("_keep")).select("root", F.col("_keep.doc_id").alias("class_id"), F.col("_keep.loc").alias("keep_loc"))
+    r = r.join(classes, "root").select("rep", "class_id", "keep_loc", "n_links")
     out = signed.select("doc_id", "loc", "rep").join(r, "rep", "left")
-    return out.select("doc_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "loc")
+    return out.select("doc_id", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "loc", "keep_loc")
 
 
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: ChosenPath = ChosenPath()) -> DataFrame:
     """The rows of `docs` without all but one of each group of linked documents: the one with the smallest id stays.
 
-    Of rows with the same id and text one stays, too. Texts without a word are kept as they are.
+    Of rows with the same id and text one stays, too. Texts without a word are kept as they are. Ids may repeat or be
+    null (as an id, null is the largest): rows are told apart by id and text.
     """
-    judged = written(jaccard_join(docs, text_col, id_col, how), "judged")
-    gone = cut(judged.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("loc").alias("_loc")).distinct())
+    judged = written(_judged(docs, text_col, id_col, how), "judged")
+    linked = judged.where("n_links > 0").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("loc") == F.col("keep_loc")))
+    pair = [F.col("doc_id").alias("_id"), F.col("loc").alias("_loc")]
+    gone = cut(linked.where("NOT stays").select(*pair).distinct())
     kept = docs.withColumn("_at", F.xxhash64(text_col))
-    kept = kept.join(_lookup(gone, gone.count()), kept[id_col].eqNullSafe(gone["_id"]) & (kept["_at"] == gone["_loc"]), "left_anti")
-    # several rows of one id are left only where ids repeat: equal texts, or linked ones under the same id
-    again = judged.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("n_links") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("loc")).where("n > 1")
-    if again.isEmpty():
+    on = lambda of: kept[id_col].eqNullSafe(of["_id"]) & (kept["_at"] == of["_loc"])
+    kept = kept.join(_lookup(gone, gone.count()), on(gone), "left_anti")
+    # rows that repeat both id and text
+    again = cut(linked.where("stays").groupBy("doc_id", "loc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair))
+    n = again.count()
+    if not n:
         return kept.drop("_at")
-    again = again.select(F.col("doc_id").alias("_id"), F.col("loc").alias("_loc"))
-    single = kept.join(again, kept[id_col].eqNullSafe(again["_id"]), "left_anti")
-    repeats = kept.join(again, kept[id_col].eqNullSafe(again["_id"]) & (kept["_at"] == again["_loc"]), "left_semi").dropDuplicates([id_col, "_at"])
+    single = kept.join(_lookup(again, n), on(again), "left_anti")
+    repeats = kept.join(_lookup(again, n), on(again), "left_semi").dropDuplicates([id_col, "_at"])
     return single.unionByName(repeats).drop("_at")
 
 

@@ -122,6 +122,18 @@ def test_one_of_each_group_stays(spark):
     assert neardup.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_clean_rows_of_null_and_repeated_ids_stay(spark):
+    a, b, c, d = ("one two three four five six", "red green blue black white grey", "north south east west up down", "##")
+    rows = [(None, a), (None, a), (None, b), (None, d), (7, a), (8, c), (8, c), (8, b), (8, d), (8, "sun moon stars sky sea sand")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text) for r in neardup.drop_near_copies(df).collect())
+    assert got == sorted([("None", d), ("7", a), ("8", b), ("8", c), ("8", d), ("8", rows[-1][1])])
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    df = spark.createDataFrame([(None, ITEM), (None, b), (3, "so " + ITEM), (3, c)], "doc_id long, text string")
+    for how in (decontaminate.TemplateMatch(), decontaminate.TemplateMatch(broadcast_windows=0)):
+        assert sorted((str(r.doc_id), r.text) for r in decontaminate.drop_leaks(df, items, how=how).collect()) == [("3", c), ("None", b)]
+
+
 def test_runs_for_the_recall():
     assert neardup.ChosenPath(recall=0.9).runs < neardup.ChosenPath(recall=0.9999).runs
 
