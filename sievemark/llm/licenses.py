@@ -74,10 +74,69 @@ FORMS: tuple[tuple[str, float], ...] = (
     (r"(?:copy|text) of (?:the )?{}", 0.85),
     (r"{}", 0.7),
 )
+# Short names and identifiers, which say a license only beside a word for it.
+SHORT_NAMES: tuple[tuple[str, str], ...] = (
+    ("apache-1.1", r"apache 1 1"),
+    ("apache-2.0", r"apache v?2(?: 0)?"),
+    ("mit", r"mit"),
+    ("x11", r"x11"),
+    ("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd)"),
+    ("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd)"),
+    ("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd)"),
+    ("gpl-1.0", r"(?:gnu )?gpl ?v?1(?: 0)?(?: only| or later)?"),
+    ("gpl-2.0", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.0", r"(?:gnu )?lgpl ?v?2(?: 0)?(?: only| or later)?"),
+    ("lgpl-2.1", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
+    ("lgpl-3.0", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("lgpl-any", r"(?:gnu )?lgpl"),
+    ("agpl-3.0", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?"),
+    ("gpl-any", r"(?:gnu )?gpl"),
+    ("mpl-1.1", r"mpl v?1 1"),
+    ("mpl-2.0", r"mpl v?2(?: 0)?"),
+    ("epl-1.0", r"epl v?1(?: 0)?"),
+    ("epl-2.0", r"epl v?2(?: 0)?"),
+    ("cddl", r"cddl(?: 1 [01])?"),
+    ("cpl-1.0", r"cpl 1 0"),
+    ("gfdl", r"gfdl(?: 1 [1-3])?(?: only| or later)?"),
+    ("artistic-2.0", r"artistic 2 0"),
+    ("isc", r"isc"),
+    ("zlib", r"zlib"),
+    ("boost-1.0", r"(?:bsl|boost) 1 0"),
+    ("odbl", r"odbl(?: 1 0)?"),
+    ("ofl-1.1", r"ofl 1 1"),
+    ("postgresql", r"postgresql"),
+    ("python-2.0", r"(?:python|psf) 2 0"),
+    ("wtfpl", r"wtfpl"),
+    ("unlicense", r"unlicense"),
+)
+SHORT_FORMS: tuple[tuple[str, float], ...] = (
+    (r"(?:spdx )?licen[sc]e identifier {}", 1.0),
+    (r"(?:is |are |be )?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{}", 1.0),
+    (r"{} licen[sc]ed", 0.95),
+    (r"licen[sc]e {}", 0.9),
+    (r"{} licen[sc]e", 0.9),
+)
+# Label, keyword in normalised words, and a sentence of the license's own text or notice.
+BODIES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("boost-1.0", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-4-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted.{0,1200}? all advertising materials mentioning features"),
+    ("bsd-3-clause", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted.{0,1200}? may be used to endorse or promote products"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("lgpl-2.1", "lesser general", r"lesser general public licen[sc]e as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", "lesser general", r"lesser general public licen[sc]e as published by the free software foundation either version 3"),
+    ("agpl-3.0", "affero general", r"affero general public licen[sc]e as published by the free software foundation either version 3"),
+    ("gpl-2.0", "gnu general", r"gnu general public licen[sc]e as published by the free software foundation either version 2"),
+    ("gpl-3.0", "gnu general", r"gnu general public licen[sc]e as published by the free software foundation either version 3"),
+    ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+)
 #: The base: phrases whose words stand consecutively.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: A text without any of these has nothing that a rule or phrase could find.
-GATES = ("licen", "cc", "gpl", "creative", "public", "reserved")
+GATES = ("licen", "cc", "gpl", "creative", "public", "reserved", "hereby", "redistribution", "warranty")
 
 
 DETECTIONS = "array<struct<nth:int,label:string,start:int,end:int,confidence:double>>"
@@ -93,6 +152,14 @@ def rules() -> list[dict]:
     return out
 
 
+def signatures() -> list[dict]:
+    """The rules of short names and of bodies, after all others: each with its keyword and what must stand in a text."""
+    pairs = [(label, "licen", form.format(f"(?:{name})"), confidence) for form, confidence in SHORT_FORMS for label, name in SHORT_NAMES]
+    pairs += [(label, keyword, body, 1.0) for label, keyword, body in BODIES]
+    first = len(FORMS) * len(NAMES)
+    return [{"nth": first + k, "label": label, "keyword": keyword, "pattern": f" (?:{p})(?= )", "confidence": confidence} for k, (label, keyword, p, confidence) in enumerate(pairs)]
+
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -114,6 +181,10 @@ def _nested() -> list[dict]:
     """The rules by keyword and, under each, by what names the license: most of them are never tried."""
     every = rules()
     names = [{"name": name, "keyword": keyword, "forms": every[k :: len(NAMES)]} for k, (_, keyword, name) in enumerate(NAMES)]
+    sure = signatures()
+    short = len(SHORT_NAMES)
+    names += [{"name": f" {name} ", "keyword": "licen", "forms": sure[k : short * len(SHORT_FORMS) : short]} for k, (_, name) in enumerate(SHORT_NAMES)]
+    names += [{"name": r["pattern"], "keyword": r["keyword"], "forms": [r]} for r in sure[short * len(SHORT_FORMS) :]]
     return [{"keyword": k, "names": [n for n in names if n["keyword"] == k]} for k in dict.fromkeys(n["keyword"] for n in names)]
 
 

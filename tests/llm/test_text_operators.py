@@ -89,6 +89,23 @@ def test_overlapping_rules(spark):
     assert 200 <= len(licenses.rules()) == len(licenses.NAMES) * len(licenses.FORMS)
 
 
+def test_identifiers_short_names_and_bodies(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above notice."
+    cases = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause",
+        "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "License: MIT": "mit", "MIT licensed": "mit", "Apache-2.0 license": "apache-2.0",
+        "Licensed under the MPL 2.0": "mpl-2.0", "license AGPLv3": "agpl-3.0", bsd: "bsd", bsd + " 3. Neither the name of the holder may be used to endorse or promote products.": "bsd-3-clause",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n of this software and associated documentation files": "mit",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License": "gpl-3.0",
+        "an mit student lost a driving licence": "", "hereby redistribution of income, without warranty": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: {x for x in r.labels.split(",") if x} for r in licenses.scan_licenses(df).collect()}
+    wrong = {text: got[k] for k, (text, label) in enumerate(cases.items()) if (label not in got[k] if label else got[k])}
+    assert not wrong
+
+
 def test_every_rule_passes_its_gates():
     for _, keyword, name in licenses.NAMES:
         plain = re.sub(r"\[sc\]", "c", name)
