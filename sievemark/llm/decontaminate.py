@@ -18,8 +18,8 @@ from .tables import cut, documents, table
 
 # Units of measure and money that make the word after a number a slot.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yard|yards|mi|mile|miles|mg|g|kg|oz|lb|lbs|ton|tons|pound|pounds|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollar|dollars|euro|euros|cent|cents|percent|degree|degrees|watt|watts|volt|volts"
-#: Scripts that put no spaces between words: each character, with its marks, is a word.
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
+#: Scripts that put no spaces between words: each character, with its marks, is a word. A range goes first, as scripts are looked up slowly.
+UNSPACED = r"(?=[\u0E00-\x{3FFFF}])[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
 _NUMBER, _NAME, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
 
 
@@ -43,10 +43,10 @@ def words_of(text: Column) -> Column:
     begins with what is rare, so that most characters fail at once.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
+    digits = F.coalesce(text, F.lit("")).rlike("[0-9]")
     t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
     numbered = F.regexp_replace(t, r"(\d)(?<![\p{L}\p{N}]\d)(\d*(?:[.,]\d+)*)(?![\p{L}\p{N}])", f"{_NUMBER}$1$2")
     numbered = F.regexp_replace(numbered, rf"({_NUMBER}\S+[ -])((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
-    digits = t.rlike("[0-9]")
     t = F.when(digits, numbered).otherwise(t)
     t = F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;] .)(\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1$2")
     t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}{_NAME}{_UNIT}].)(\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{_START}$1$2")
