@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import spread
+
 # What bullets, headers and sentence ends look like, and the shortest criterion.
 _BULLET = re.compile(r"^(\s*)(?:[-*•‣▪·–—]|\(\d+\)|\d+[.)]|\([a-zA-Z]\)|[a-zA-Z]\))\s+")
 _NUMBERED = re.compile(r"^\s*(?:\(\d+\)|\d+[.)])")
@@ -22,6 +24,7 @@ _HEADER = re.compile(_TITLE + r":?\s*$", re.I)
 _HEADER_INLINE = re.compile(_TITLE + r":\s*(\S.*)$", re.I)
 _SENTENCE = re.compile(r"(?<=[.;])\s+(?=[A-Z0-9])")
 MIN_CHARS = 3
+_WORD, _DASH = re.compile(r"\S+"), re.compile(r"^\s*[-*•]", re.M)
 
 
 @dataclass
@@ -81,32 +84,59 @@ class _Reader:
             self.begin(start, start + len(line), text, self.lead_in)
 
 
-def _find(blob: str, block: _Block, piece: str) -> tuple[int, int]:
-    """Where a piece with collapsed white space stands in its block; the block itself if it isn't found."""
-    found = re.compile(r"\s+".join(map(re.escape, piece.split()))).search(blob, block.start, block.end)
-    return found.span() if found else (block.start, block.end)
+class _Offsets:
+    """A block's text with white space collapsed, and where each of its characters stands in the blob: spans are lookups then.
+
+    Built once per block, so that looking for a piece is a plain search in one string; its first place counts.
+    """
+
+    def __init__(self, blob: str, block: _Block):
+        self.block, self.at = block, []
+        words = []
+        for word in _WORD.finditer(blob, block.start, block.end):
+            if words:
+                self.at.append(word.start() - 1)
+            words.append(word.group())
+            self.at.extend(range(word.start(), word.end()))
+        self.text = " ".join(words)
+
+    def span(self, piece: str) -> tuple[int, int]:
+        """Where a piece stands; the whole block if it isn't found, which only text that the block dropped can cause."""
+        flat = " ".join(piece.split())
+        k = self.text.find(flat)
+        if k < 0:
+            return self.block.start, self.block.end
+        return self.at[k], self.at[k + len(flat) - 1] + 1
+
+
+def _criteria(block: _Block, blob: str, bulleted: bool) -> Iterator[tuple[str, int, int]]:
+    """The block's criteria with their spans: the block itself in a bulleted text, else its sentences."""
+    text = " ".join(filter(None, block.parts)).strip()
+    if bulleted:
+        yield text, block.start, block.end
+        return
+    where = _Offsets(blob, block)
+    for piece in map(str.strip, _SENTENCE.split(text)):
+        if piece:
+            yield piece, *where.span(piece)
+
+
+def _method(reader: _Reader, blob: str, any_found: bool) -> str:
+    if not reader.bullets:
+        return "sentence_split" if any_found else "none"
+    return "bulleted" if not reader.numbers else "mixed" if _DASH.search(blob) else "numbered"
 
 
 def segment(blob: str | None) -> tuple[list[dict], str]:
     """Criteria (idx, section, text, span_start, span_end, lead_in) of a text, and the method that found them."""
-    if not blob:
-        return [], "none"
     reader, at = _Reader(), 0
-    for line in blob.split("\n"):
+    for line in (blob or "").split("\n"):
         reader.line(line, at)
         at += len(line) + 1
-    found: list[tuple[_Block, str, int, int]] = []
-    for b in reader.blocks:
-        text = " ".join(p for p in b.parts if p).strip()
-        pieces = [text] if reader.bullets else [p.strip() for p in _SENTENCE.split(text)]
-        for p in pieces:
-            if len(p) >= MIN_CHARS:
-                found.append((b, p, *((b.start, b.end) if reader.bullets else _find(blob, b, p))))
-    out = [{"idx": k, "section": b.section, "text": p, "span_start": s, "span_end": e, "lead_in": b.lead_in} for k, (b, p, s, e) in enumerate(found)]
-    if not reader.bullets:
-        return out, "sentence_split" if out else "none"
-    dashes = re.search(r"^\s*[-*•]", blob, re.M)
-    return out, ("mixed" if dashes else "numbered") if reader.numbers else "bulleted"
+    rows = [(b, *c) for b in reader.blocks for c in _criteria(b, blob or "", reader.bullets) if len(c[0]) >= MIN_CHARS]
+    names = ("section", "text", "span_start", "span_end", "lead_in")
+    out = [{"idx": k, **dict(zip(names, (b.section, text, start, end, b.lead_in), strict=True))} for k, (b, text, start, end) in enumerate(rows)]
+    return out, _method(reader, blob or "", bool(out))
 
 
 CRITERION = "idx int, section string, text string, span_start int, span_end int, lead_in string"
@@ -122,7 +152,7 @@ def segment_column(df: DataFrame, key: str, text_col: str) -> DataFrame:
             found = [segment(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for _, m in found]), pa.array([c for c, _ in found], pa.list_(_ARROW))], names=[key, "parse_method", "criteria"])
 
-    return df.select(F.col(key), F.col(text_col)).mapInArrow(run, f"`{key}` {kind}, parse_method string, criteria array<struct<{CRITERION.replace(' ', ':').replace(',:', ',')}>>")
+    return spread(df.select(F.col(key), F.col(text_col))).mapInArrow(run, f"`{key}` {kind}, parse_method string, criteria array<struct<{CRITERION.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def criteria_rows(segmented: DataFrame, key: str) -> DataFrame:
@@ -131,10 +161,10 @@ def criteria_rows(segmented: DataFrame, key: str) -> DataFrame:
 
 
 def register_udtf(spark, name: str = "segment_criteria") -> None:
-    """Makes `LATERAL segment_criteria(text)` available in SQL."""
+    """Makes `LATERAL segment_criteria(text)` available in SQL; rows of many calls go through Arrow together."""
     from pyspark.sql.functions import udtf
 
-    @udtf(returnType=CRITERION + ", method string")
+    @udtf(returnType=CRITERION + ", method string", useArrow=True)
     class Segments:
         def eval(self, blob: str):
             found, method = segment(blob)

@@ -92,16 +92,34 @@ def prepare_query(c: Column, mode: str = "raw") -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case ASCII letters and digits in runs."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case ASCII letters and digits in runs. What separates them is what is split at: one pass without a match per word."""
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), "")
+
+
+#: Items that are folded together: appending copies an array, so long arrays are folded in parts, and the parts joined.
+FOLD_PART = 256
+
+
+def fold(items: str, kind: str, at: str, add: str, start: str = "0") -> str:
+    """SQL of a linear fold over an array that gathers rows of type `kind`.
+
+    `at` is the state after the item `x`, `add` an array of what it adds; both see the state before it as `a.at`.
+    """
+    step = f"(a, x) -> named_struct('at', {at}, 'out', concat(a.out, {add}))"
+    part = f"aggregate(slice(xs, CAST(c * {FOLD_PART} + 1 AS int), {FOLD_PART}), named_struct('at', o.at, 'out', CAST(array() AS array<{kind}>)), {step})"
+    # the array and each part are bound to a variable, so that they are computed once
+    return f"""element_at(transform(array({items}), xs -> flatten(aggregate(sequence(0, greatest(0, (size(xs) - 1) div {FOLD_PART})), named_struct('at', {start}, 'out', CAST(array() AS array<array<{kind}>>)),
+      (o, c) -> element_at(transform(array({part}), i -> named_struct('at', i.at, 'out', array_append(o.out, i.out))), 1), o -> o.out))), 1)"""
 
 
 def chunk_words(c: Column, size: int = 320, overlap: int = 40) -> Column:
     """Chunks of `size` words that begin every size - overlap words. A text of at most `size` words is one chunk, even
     empty; the last chunk may lie wholly in the one before it."""
-    words = F.filter(F.split(F.coalesce(flat(c), F.lit("")), " "), lambda x: F.length(x) > 0)
-    starts = F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))
-    return F.when(F.size(words) <= size, F.array(F.array_join(words, " "))).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " ")))
+    # the words are bound to a variable, so that the text is split once; white space is what \\s means in Unicode
+    split = F.array_remove(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), "")
+    starts = lambda ws: F.sequence(F.lit(0), F.size(ws) - 1, F.lit(size - overlap))
+    chunks = lambda ws: F.when(F.size(ws) <= size, F.array(F.array_join(ws, " "))).otherwise(F.transform(starts(ws), lambda i: F.array_join(F.slice(ws, i + 1, F.lit(size)), " ")))
+    return F.element_at(F.transform(F.array(split), chunks), 1)
 
 
 def content_words(c: Column, triage: bool = False) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold
+
 
 def retrieval_text(title: Column, summary: Column, *lists: Column) -> Column:
     """Title, summary and each list joined by `; `, one per line, blanks left out."""
@@ -20,15 +22,16 @@ def contents(title: Column, summary: Column, conditions: Column, others: Column,
     return F.concat_ws("\n", *front, base, *([] if criteria is None else [F.nullif(criteria, F.lit(""))]))
 
 
+_LINE = "struct<text:string,span_start:int,span_end:int>"
+
+
 def line_segments(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """key, idx, text, span_start, span_end: lines that have any text, trimmed, with half-open code-point spans of the whole line.
 
-    Spans are running sums inside the row's own array, so nothing is shuffled.
+    Spans are running sums inside the row's own array, folded in linear time, so nothing is shuffled.
     """
-    lines = F.split(F.col(text_col), "\n")
-    add = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(F.trim(x).alias("text"), acc["at"].alias("span_start"), (acc["at"] + F.length(x)).alias("span_end")))).alias("out"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,span_start:int,span_end:int>>").alias("out"))
-    kept = F.filter(F.aggregate(lines, start, add, lambda acc: acc["out"]), lambda x: x["text"] != "")
+    line = "named_struct('text', trim(x), 'span_start', a.at, 'span_end', a.at + length(x))"
+    kept = F.expr(fold(f"split(`{text_col}`, '\\n')", _LINE, "a.at + length(x) + 1", f"CASE WHEN trim(x) <> '' THEN array({line}) ELSE array() END"))
     return docs.select(key, F.posexplode(kept).alias("idx", "_x")).select(key, "idx", "_x.text", "_x.span_start", "_x.span_end")
 
 
@@ -43,9 +46,27 @@ def span_violations(segments: DataFrame, docs: DataFrame, key: str = "doc_id", t
     if sample is not None:
         d = d.orderBy(F.xxhash64(F.col(key), F.lit(7)), key).limit(sample)
     squash = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    j = segments.join(d, key).where(squash(span_text(F.col("_blob"), F.col("span_start"), F.col("span_end"))) != squash(F.col("text")))
-    n = segments.join(d.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("n_checked"))
-    return n.crossJoin(j.agg(F.count(F.lit(1)).alias("n_violations")))
+    j = segments.join(d, key)
+    wrong = squash(span_text(F.col("_blob"), F.col("span_start"), F.col("span_end"))) != squash(F.col("text"))
+    return j.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(wrong).alias("n_violations"))
+
+
+def check_export(bulk: DataFrame, docs: DataFrame, contents: Column, n: int, key: str = "doc_id") -> DataFrame:
+    """n_checked, n_wrong: whether texts exported in bulk (id, contents) are those of point lookups, for n documents chosen by a hash
+    of the key. A missing text is wrong."""
+    some = docs.orderBy(F.xxhash64(F.col(key), F.lit(11)), key).limit(n).select(F.col(key).cast("string").alias("_id"), contents.alias("_own"))
+    j = some.join(bulk.select(F.col("id").cast("string").alias("_id"), "contents"), "_id", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("contents").eqNullSafe(F.col("_own"))).alias("n_wrong"))
+
+
+def get_trial(trials: DataFrame, nct_id: str) -> DataFrame:
+    """The record with an id, or no row; the filter reaches the scan."""
+    return trials.where(F.col("nct_id") == F.lit(nct_id))
+
+
+def get_criteria(criteria: DataFrame, nct_id: str) -> DataFrame:
+    """A record's criteria in their order."""
+    return criteria.where(F.col("nct_id") == F.lit(nct_id)).orderBy("idx")
 
 
 def quantile_by_index(counts: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:

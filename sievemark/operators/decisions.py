@@ -126,9 +126,20 @@ def label_stats(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count(F.lit(1)).alias("n"), *c).withColumn("abstention", F.round(F.coalesce(F.try_divide("unverifiable", F.col("n")), F.lit(0.0)), 6))
 
 
+def forced(decisions: DataFrame) -> DataFrame:
+    """Decisions without abstention: what can't be verified counts as violated for an exclusion and as satisfied otherwise."""
+    label = F.when(F.col("label") != "unverifiable", F.col("label")).when(F.col("section") == "exclusion", "violated").otherwise("satisfied")
+    return decisions.withColumn("label", label)
+
+
+def relevant(decisions: DataFrame, exempt_demographic: bool = True) -> DataFrame:
+    """Decisions that are unverifiable or whose evidence bears on the quote."""
+    return decisions.where((F.col("label") == "unverifiable") | supports(F.col("patient_evidence"), F.col("criterion_quote"), exempt_demographic))
+
+
 def relevance_filtered(pairs: DataFrame, decisions: DataFrame, exempt_demographic: bool = True) -> DataFrame:
     """Pairs with n_kept: decisions that are unverifiable or whose evidence bears on the quote. Pairs that lose all stay."""
-    kept = decisions.where((F.col("label") == "unverifiable") | supports(F.col("patient_evidence"), F.col("criterion_quote"), exempt_demographic))
+    kept = relevant(decisions, exempt_demographic)
     return pairs.join(kept.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_kept")), PAIR, "left").fillna(0, ["n_kept"])
 
 

@@ -112,3 +112,34 @@ def missing_topics(run: DataFrame, qrels: DataFrame, topic: str = "topic_id") ->
 def adversarial_run(qrels: DataFrame) -> DataFrame:
     """A run that ranks excluded documents first, then eligible, then irrelevant ones."""
     return qrels.select(*(c for c in qrels.columns if c != "rel"), F.when(F.col("rel") == 1, 3.0).when(F.col("rel") == 2, 2.0).otherwise(1.0).alias("score"))
+
+
+def grid_means(run: DataFrame, qrels: DataFrame, names: list[str], grid: list[tuple], metric: str, topic: str = "topic_id") -> DataFrame:
+    """names, mean, n_topics: one measure's mean for every setting of a grid of runs, all settings evaluated in one plan.
+
+    A topic of the grid is a setting with a topic; settings are a short list, so each judgment is repeated for all of them.
+    """
+    whole = F.struct(*names, topic)
+    every = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, values, strict=True))) for values in grid))
+    q = qrels.select(topic, "doc_id", "rel", F.inline(every)).select(whole.alias("_topic"), "doc_id", "rel")
+    m = trec_measures(run.select(whole.alias("_topic"), "doc_id", "score"), q, topic="_topic").where(F.col("metric") == metric)
+    return averages(m.select(*(F.col("_topic")[n].alias(n) for n in names), "metric", "value"), tuple(names)).drop("metric")
+
+
+def self_test(spark) -> DataFrame:
+    """check, ok: the measures against values worked out by hand, and two orderings that any right measure has."""
+    import math
+
+    labels = [2, 1, 0, 2, 1, 0, 0, 2, 0, 1, 2]
+    rows = [("t", f"d{k:02d}", rel, float(len(labels) - k)) for k, rel in enumerate(labels)]
+    df = spark.createDataFrame(rows, "topic_id string, doc_id string, rel int, score double")
+    run, qrels = df.drop("rel"), df.drop("score")
+    gain = lambda xs: sum(x / math.log2(k + 2) for k, x in enumerate(xs[:10]))
+    own = [int(x == 2) for x in labels]
+    want = {"official/ndcg_10": gain(labels) / gain(sorted(labels, reverse=True)), "eligible/ndcg_10": gain(own) / gain(sorted(own, reverse=True)), "elig/contamination_10": 0.3, "elig/judged_10": 1.0}
+    got = {r.metric: r.value for r in evaluate(run, qrels).collect()}
+    bad = {r.metric: r.value for r in evaluate(adversarial_run(qrels), qrels).collect()}
+    checks = [(name, abs(got[name] - value) < 1e-6) for name, value in want.items()]
+    checks.append(("adversarial: eligible below official", bad["eligible/ndcg_10"] < bad["official/ndcg_10"]))
+    checks.append(("adversarial: more contamination", bad["elig/contamination_10"] >= got["elig/contamination_10"]))
+    return spark.createDataFrame(checks, "check string, ok boolean")

@@ -1,16 +1,19 @@
-"""BM25 as tables: postings, document lengths, document frequencies; search and parameter grids in one pass."""
+"""BM25 on a stored index: postings bucketed by term, term statistics, search and parameter grids in one pass."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prepare_query, tokens
+from ..sources.store import new_path, spread
 
 #: A query or parameter table of so many rows at most (some 50 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
+#: Documents for which an index gets another bucket, and the fewest and most buckets.
+BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 8, 4096
 
 
 def small(df: DataFrame, n: int | None = None) -> DataFrame:
@@ -20,13 +23,17 @@ def small(df: DataFrame, n: int | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """A corpus with its statistics: n documents of mean length avgdl. Empty documents count in n."""
+    """A stored corpus with its statistics: n documents of mean length avgdl. Empty documents count in n.
 
-    docs: DataFrame
-    key: str
-    text_col: str
+    postings has doc_id, term, tf, dl and bucket, terms has term, df, cf and bucket; both are partitioned by the bucket of the
+    term and sorted by it, so a search reads the buckets and row groups of its terms, and no text.
+    """
+
+    postings: DataFrame
+    terms: DataFrame
     n: int
     avgdl: float
+    buckets: int
 
 
 def term_frequencies(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -34,20 +41,39 @@ def term_frequencies(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     return docs.select(F.col(key), F.explode(tokens(F.col(text_col))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, dl, of all terms or those given. The length comes from the row itself, and terms that aren't wanted are
-    dropped before anything is shuffled."""
+def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, term, tf, dl of all terms: one pass over the texts, whose words are counted before they are shuffled."""
     words = docs.select(F.col(key), tokens(F.col(text_col)).alias("ws"))
-    rows = words.select(key, F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return words.select(key, F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def store_index(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text") -> Index:
+    """Writes the index of a corpus and opens it. The texts are read once; everything else comes from the postings."""
+    spark, n = docs.sparkSession, docs.count()
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // BUCKET_DOCS))
+    p = postings(spread(docs.select(key, text_col)), key, text_col).withColumnRenamed(key, "doc_id").withColumn("bucket", bucket_of(F.col("term"), buckets))
+    p.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    terms = stored.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    words = spark.read.parquet(f"{path}/terms").agg(F.sum("cf").alias("words"))
+    words.select(F.lit(n).cast("long").alias("n"), (F.coalesce("words", F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/corpus")
+    return open_index(spark, path)
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Index:
-    """The statistics of a corpus, from one pass over its lengths."""
-    total = docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("dl")).first()
-    return Index(docs, key, text_col, total.n, (total.dl or 0) / max(total.n, 1))
+def open_index(spark: SparkSession, path: str) -> Index:
+    """A stored index; only its one row of corpus statistics is read now."""
+    c = spark.read.parquet(f"{path}/corpus").first()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), c.n, c.avgdl, c.buckets)
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: str | None = None) -> Index:
+    """The index of a corpus, stored at a path or else for as long as the driver's process lives."""
+    return store_index(docs, path or new_path(docs.sparkSession, "index"), key, text_col)
 
 
 def query_terms(queries: DataFrame, key: str, text_col: str, mode: str = "raw") -> DataFrame:
@@ -56,13 +82,14 @@ def query_terms(queries: DataFrame, key: str, text_col: str, mode: str = "raw")
 
 
 def matched(index: Index, queries: DataFrame, key: str, text_col: str, mode: str = "raw") -> DataFrame:
-    """Postings of query terms with all that a score needs. The corpus is tokenised once, whatever the number of queries or
-    parameters: postings and document frequencies share one exchange."""
-    q = query_terms(queries, key, text_col, mode)
-    n = q.count()
-    p = postings(index.docs, index.key, index.text_col, small(q.select("term").distinct(), n)).withColumnRenamed(index.key, "doc_id")
-    terms = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return p.join(small(q.join(terms, "term"), n), "term")
+    """Postings of query terms with all that a score needs, from the buckets of these terms only, whatever the number of queries
+    or parameters."""
+    q = query_terms(queries, key, text_col, mode).withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    # one pass over the queries: how many rows they have, and which of at most MOST_BUCKETS buckets they need
+    by_bucket = q.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    n, wanted = sum(r.n for r in by_bucket), F.col("bucket").isin(*(r.bucket for r in by_bucket))
+    known = q.join(index.terms.where(wanted).select("bucket", "term", "df"), ["bucket", "term"])
+    return index.postings.where(wanted).join(small(known, n), ["bucket", "term"])
 
 
 def weight(index: Index, k1: Column, b: Column) -> Column:
@@ -84,11 +111,16 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text_col: str
     return top_k(scored, depth, [key])
 
 
-def search_grid(index: Index, queries: DataFrame, grid: list[tuple[float, float]], key: str = "item_id", text_col: str = "text", depth: int = 10) -> DataFrame:
-    """k1, b, key, doc_id, score, rank for every pair of parameters, from one pass over the matched postings: a posting gets an
-    array with a weight for each pair, summed by position."""
+def search_grid(index: Index, queries: DataFrame, grid: list[tuple[float, float]], key: str = "item_id", text_col: str = "text", depth: int = 1000) -> DataFrame:
+    """k1, b, key, doc_id, score, rank for every pair of parameters, from one pass over the matched postings: a posting gets a
+    weight for each pair, and all are summed in one aggregation."""
     m = matched(index, queries, key, text_col)
     sums = [F.sum(weight(index, F.lit(k1), F.lit(b))).alias(f"s{i}") for i, (k1, b) in enumerate(grid)]
     wide = m.groupBy(key, "doc_id").agg(*sums)
     each = F.array(*(F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.round(f"s{i}", 6).alias("score")) for i, (k1, b) in enumerate(grid)))
     return top_k(wide.select(key, "doc_id", F.inline(each)), depth, ["k1", "b", key])
+
+
+def best_setting(values: DataFrame, settings: list[str], value: str = "mean") -> DataFrame:
+    """The row of the setting with the largest value; of equal ones the first in the order of the settings."""
+    return values.orderBy(F.desc(value), *settings).limit(1)

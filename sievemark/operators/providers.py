@@ -25,7 +25,11 @@ class Provider(Protocol):
 
 
 class ProviderError(Exception):
-    """A call failed in a way that another attempt may mend."""
+    """A call failed in a way that another attempt may mend; delay: seconds that the server asks to wait."""
+
+    def __init__(self, message: str = "", delay: float | None = None):
+        super().__init__(message)
+        self.delay = delay
 
 
 def rule_provider(labels: tuple[str, ...] = LABELS) -> Provider:
@@ -48,8 +52,27 @@ def rule_provider(labels: tuple[str, ...] = LABELS) -> Provider:
     return answer
 
 
+def rotating(providers: list[Provider]) -> Provider:
+    """Providers in turn, one per access key: a call that one refuses goes to the next, and later calls stay with that one."""
+    at = 0
+
+    def call(prompt: str) -> str | None:
+        nonlocal at
+        for n in range(len(providers)):
+            try:
+                return providers[at](prompt)
+            except ProviderError:
+                at = (at + 1) % len(providers)
+                if n == len(providers) - 1:
+                    raise
+        return None
+
+    return call
+
+
 def with_retries(provider: Provider, attempts: int = 3, wait: Callable[[int], float] = lambda n: 0.5 * 2**n, breaker: int = 5) -> Provider:
-    """Repeats failed calls; after `breaker` calls in a row that failed for good, it stops the task instead of going on."""
+    """Repeats failed calls, after as long as the server asks for or else `wait` says; after `breaker` calls in a row that failed
+    for good, it stops the task instead of going on."""
     failed = 0
 
     def call(prompt: str) -> str | None:
@@ -57,8 +80,8 @@ def with_retries(provider: Provider, attempts: int = 3, wait: Callable[[int], fl
         for n in range(attempts):
             try:
                 out = provider(prompt)
-            except ProviderError:
-                time.sleep(wait(n))
+            except ProviderError as e:
+                time.sleep(wait(n) if e.delay is None else e.delay)
                 continue
             failed = 0
             return out

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Draws that are held at once.
+DRAWN = 1 << 22
+
+
 def bootstrap(differences: np.ndarray, n_boot: int = 10_000, seed: int = 0) -> dict[str, float]:
     """n, diff, two-sided p by shifting the resampled means to 0, and the 95% interval of percentiles."""
     d = np.asarray(differences, float)
     if not len(d):
         return {"n": 0, "diff": 0.0, "p": 1.0, "ci_lo": 0.0, "ci_hi": 0.0}
-    means = d[np.random.default_rng(seed).integers(0, len(d), (n_boot, len(d)))].mean(1)
+    # draws in parts of a bounded size; the generator's stream is the same as in one piece
+    draws, part = np.random.default_rng(seed), max(1, DRAWN // len(d))
+    means = np.concatenate([d[draws.integers(0, len(d), (min(part, n_boot - k), len(d)))].mean(1) for k in range(0, n_boot, part)])
     low, high = np.percentile(means, [2.5, 97.5])
     return {"n": len(d), "diff": float(d.mean()), "p": float((np.abs(means - d.mean()) >= abs(d.mean())).mean()), "ci_lo": float(low), "ci_hi": float(high)}
 
@@ -43,7 +49,7 @@ def compare(metrics: DataFrame, pairs: list[tuple[str, str]], topic: str = "topi
     return both.groupBy("system_a", "system_b", "metric").applyInPandas(run, "system_a string, system_b string, metric string, n long, diff double, p double, ci_lo double, ci_hi double")
 
 
-def hash_bootstrap(metrics: DataFrame, a: str, b: str, n_boot: int = 200, topic: str = "topic_id") -> DataFrame:
+def hash_bootstrap(metrics: DataFrame, a: str, b: str, n_boot: int = 10_000, topic: str = "topic_id") -> DataFrame:
     """metric, n, diff, p: the same test with draws from MD5 instead of a generator, so that any SQL engine repeats it."""
     d = metrics.where(F.col("system").isin(a, b)).groupBy("metric", topic).pivot("system", [a, b]).agg(F.first("value")).where(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull())
     d = d.select("metric", topic, (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("d"))

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions.segment import criteria_rows, segment_column
-from .operators import corpus, decisions, dense, errors, evaluation, fusion, lexical, profiles, report, rerank, significance
+from .operators import corpus, decisions, dense, errors, evaluation, fusion, lexical, profiles, reasoning, report, rerank, significance
+from .operators.providers import rule_provider
 from .plans import match
-from .sources import readers, sinks
+from .sources import readers, sinks, store
 from .streaming import quota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +47,19 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> lexical.Index:
+    """The stored index of the documents: made by the first query of a session that needs it, opened by all others. Another version
+    of the table is another index."""
+    docs = t(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, store.version(spark, docs))
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build_index(docs)
+    return _INDEXES[key]
+
+
 # ---- lexical retrieval ------------------------------------------------------------------------------------------------------
 
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
@@ -66,7 +80,7 @@ def run_sql(name: str, k1: float, b: float, depth: int) -> str:
     return f"{name} AS (SELECT topic_id, doc_id, score, rank FROM {ranked_sql(f'(SELECT topic_id, doc_id, round(sum({part}), 6) AS score FROM m, stat GROUP BY topic_id, doc_id)')} WHERE rank <= {depth})"
 
 
-RUNS = f"WITH {BASE}, {run_sql('a', 0.9, 0.4, 100)}, {run_sql('b', 1.8, 1.0, 100)}"
+RUNS = f"WITH {BASE}, {run_sql('a', 0.9, 0.4, 1000)}, {run_sql('b', 1.8, 1.0, 1000)}"
 QRELS = f"{RUNS}, qrels AS (SELECT topic_id, doc_id, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END AS rel FROM b JOIN labels USING (doc_id))"
 
 
@@ -74,10 +88,10 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "benchmark").select(F.col("item_id").alias("topic_id"), F.col("text").alias("narrative"))
 
 
-def runs(spark: SparkSession, d: str, depth: int = 100) -> tuple[DataFrame, DataFrame]:
+def runs(spark: SparkSession, d: str, depth: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Two runs of different parameters, from one pass over the matched postings."""
     pairs = [(0.9, 0.4), (1.8, 1.0)]
-    both = lexical.search_grid(lexical.build_index(t(spark, d, "documents")), topics(spark, d), pairs, "topic_id", "narrative", depth)
+    both = lexical.search_grid(index_of(spark, d), topics(spark, d), pairs, "topic_id", "narrative", depth)
     return tuple(both.where(F.col("k1") == k1).drop("k1", "b") for k1, _ in pairs)
 
 
@@ -90,8 +104,7 @@ def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 @query(f"WITH {BASE}, {run_sql('a', 0.9, 0.4, 10)} SELECT * FROM a")
 def bm25_top10(spark, d):
-    index = lexical.build_index(t(spark, d, "documents"))
-    return lexical.search(index, topics(spark, d), "topic_id", "narrative", depth=10)
+    return lexical.search(index_of(spark, d), topics(spark, d), "topic_id", "narrative", depth=10)
 
 
 GRID = [(k1, b) for k1 in (0.5, 0.9, 1.2, 1.5, 1.8, 2.5, 3.0, 4.0) for b in (0.25, 0.4, 0.75, 1.0)]
@@ -99,15 +112,23 @@ GRID_PART = "qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (t
 GRID_SQL = f"WITH {BASE}, grid AS (SELECT k1::DOUBLE AS k1, b::DOUBLE AS b FROM (VALUES {', '.join(f'({k}, {b})' for k, b in GRID)}) g(k1, b)), s AS (SELECT k1, b, topic_id, doc_id, round(sum({GRID_PART}), 6) AS score FROM m, stat, grid GROUP BY ALL)"
 
 
-@query(f"{GRID_SQL} SELECT k1, b, topic_id, doc_id, score, rank FROM {ranked_sql('s', 'k1, b, topic_id')} WHERE rank <= 3")
+@query(f"{GRID_SQL} SELECT k1, b, topic_id, doc_id, score, rank FROM {ranked_sql('s', 'k1, b, topic_id')} WHERE rank <= 1000")
 def bm25_param_grid(spark, d):
-    index = lexical.build_index(t(spark, d, "documents"))
-    return lexical.search_grid(index, topics(spark, d), GRID, "topic_id", "narrative", 3)
+    return lexical.search_grid(index_of(spark, d), topics(spark, d), GRID, "topic_id", "narrative", 1000)
+
+
+@query(f"""{QRELS}, grid AS (SELECT k1::DOUBLE AS k1, b::DOUBLE AS b FROM (VALUES {', '.join(f'({k}, {b})' for k, b in GRID)}) g(k1, b)), s AS (SELECT k1, grid.b AS b, topic_id, doc_id, round(sum({GRID_PART.replace(' b ', ' grid.b ').replace('- b +', '- grid.b +')}), 6) AS score FROM m, stat, grid GROUP BY ALL),
+  r AS (SELECT * FROM {ranked_sql('s', 'k1, b, topic_id')} WHERE rank <= 1000), ideal AS (SELECT topic_id, sum(1.0::DOUBLE / log2(pl + 1)) FILTER (pl <= 10) AS ideal FROM (SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY doc_id) AS pl FROM qrels WHERE rel = 2) GROUP BY topic_id),
+  v AS (SELECT k1, b, topic_id, round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (rel = 2 AND rank <= 10) / any_value(ideal), 0), 6) AS value FROM r LEFT JOIN qrels USING (topic_id, doc_id) LEFT JOIN ideal USING (topic_id) GROUP BY ALL)
+  SELECT k1, b, round(avg(value), 6) AS mean, count(*) AS n_topics FROM v GROUP BY k1, b ORDER BY mean DESC, k1, b LIMIT 1""")
+def bm25_grid_selected(spark, d):
+    q = evaluation.eligible_only(judged(spark, d)[2])
+    return lexical.best_setting(evaluation.grid_means(bm25_param_grid(spark, d), q, ["k1", "b"], GRID, "ndcg_10"), ["k1", "b"])
 
 
 @query(f"WITH {BASE} SELECT term, df, sum(tf)::BIGINT AS cf FROM post JOIN df USING (term) GROUP BY term, df")
 def term_stats(spark, d):
-    return lexical.postings(t(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return index_of(spark, d).terms.select("term", "df", "cf")
 
 
 @query(f"SELECT count(*) AS n, round(avg(len({WORDS})), 6) AS avgdl, max(len({WORDS}))::BIGINT AS longest FROM documents")
@@ -141,7 +162,7 @@ LINES = r"""
 
 
 def segments(spark, d):
-    return corpus.line_segments(t(spark, d, "documents"))
+    return corpus.line_segments(store.spread(t(spark, d, "documents")))
 
 
 @query(f"WITH {LINES} SELECT * FROM seg")
@@ -172,9 +193,39 @@ def lines_per_doc_percentiles(spark, d):
     return corpus.quantile_by_index(n, "n", {"p50": 0.5, "p95": 0.95}).crossJoin(F.broadcast(n.agg(F.max("n").alias("longest"))))
 
 
-@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+#: Texts with what the segmenter has to find in them, worked out by hand.
+BLOBS = [
+    "Inclusion Criteria:\n\n- Age over 18\n- Signed consent\n  by the patient\n\nExclusion Criteria:\n- Pregnant",
+    "Inclusion Criteria: patients must walk. They must talk.\nNo pain",
+    "1. First thing\n2) Second thing\n- Third thing",
+    "Acute onset of:\n1. fever\n2. cough\n-  Exclusion Criteria:\n3. none at all",
+    "Some text. Another one; Third  part\nof it.",
+    "",
+]
+
+
+def blobs(spark) -> DataFrame:
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, BLOBS))).alias("k", "text"))
+
+
+@query("SELECT * FROM (VALUES ('bulleted', 1::BIGINT), ('sentence_split', 2), ('mixed', 2), ('none', 1)) v(parse_method, n)")
 def parse_method_counts(spark, d):
-    return t(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return segment_column(blobs(spark), "k", "text").groupBy("parse_method").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'inclusion', 'Age over 18', 23, 34, NULL), (0, 1, 'inclusion', 'Signed consent by the patient', 37, 68, NULL), (0, 2, 'exclusion', 'Pregnant', 92, 100, NULL),
+  (1, 0, 'inclusion', 'patients must walk.', 20, 39, NULL), (1, 1, 'inclusion', 'They must talk.', 40, 55, NULL), (1, 2, 'inclusion', 'No pain', 56, 63, NULL),
+  (2, 0, 'unknown', 'First thing', 3, 14, NULL), (2, 1, 'unknown', 'Second thing', 18, 30, NULL), (2, 2, 'unknown', 'Third thing', 33, 44, NULL),
+  (3, 0, 'unknown', 'fever', 19, 24, 'Acute onset of:'), (3, 1, 'unknown', 'cough', 28, 33, 'Acute onset of:'), (3, 2, 'exclusion', 'none at all', 60, 71, NULL),
+  (4, 0, 'unknown', 'Some text.', 0, 10, NULL), (4, 1, 'unknown', 'Another one;', 11, 23, NULL), (4, 2, 'unknown', 'Third  part of it.', 24, 42, NULL)) v(k, idx, section, text, span_start, span_end, lead_in)""")
+def segment_blobs(spark, d):
+    return criteria_rows(segment_column(blobs(spark), "k", "text"), "k")
+
+
+@query("SELECT count(*) > 0 AS any_checked, 0::BIGINT AS n_violations FROM documents")
+def segment_span_check(spark, d):
+    docs = t(spark, d, "documents")
+    return corpus.span_violations(segment_udtf(spark, d), docs).select((F.col("n_checked") > 0).alias("any_checked"), "n_violations")
 
 
 @query(f"WITH {LINES} SELECT doc_id, string_agg(text, '; ' ORDER BY idx) AS joined, count(*) AS n FROM seg GROUP BY doc_id")
@@ -211,10 +262,20 @@ def age_sex_gold(spark, d):
     return t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", X.gold_age_sex(F.col("text"))[2].alias("sex"))
 
 
+AGED = ["A 45-year-old man", "58 year old woman with pain", "Baby, 7 weeks old", "70 y/o with COPD", "a 30 yo F", "61 M with cough", "12 month boy", "He is 5 days old", "no age", "x" * 215 + " 40-year-old man"]
+
+
+@query("""SELECT * FROM (VALUES (0, 45, 'years', 'male'), (1, 58, 'years', 'female'), (2, 7, 'weeks', NULL), (3, 70, 'years', NULL), (4, 30, 'years', 'female'), (5, 61, 'years', 'male'),
+  (6, NULL, NULL, 'male'), (7, 5, 'days', 'male'), (8, NULL, NULL, NULL), (9, NULL, NULL, NULL)) v(k, age, unit, sex)""")
+def age_unit_sex_cases(spark, d):
+    rows = spark.range(1).select(F.posexplode(F.array(*map(F.lit, AGED))).alias("k", "text"))
+    return rows.select("k", *(c.alias(n) for c, n in zip(X.gold_age_sex(F.col("text")), ("age", "unit", "sex"), strict=True)))
+
+
 @query(r"""SELECT doc_id, k AS chunk_idx, CASE WHEN len(ws) <= 320 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k * 280 + 1:k * 280 + 320], ' ') END AS chunk FROM (
   SELECT doc_id, ws, unnest(range(0, CASE WHEN len(ws) <= 320 THEN 1 ELSE (len(ws) + 279) // 280 END))::INT AS k FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents))""")
 def chunk_words_320_40(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.posexplode(X.chunk_words(F.col("text"))).alias("chunk_idx", "chunk"))
+    return store.spread(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.chunk_words(F.col("text"))).alias("chunk_idx", "chunk"))
 
 
 @query("SELECT doc_id FROM labels UNION SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5(doc_id::VARCHAR || ':7'), doc_id LIMIT 200)")
@@ -442,8 +503,8 @@ def paired_bootstrap(spark, d):
 @query(f"""{QRELS}, v AS (SELECT topic_id, round(count(doc_id) FILTER (rel = 1 AND ra <= 10) / 10.0::DOUBLE, 6) AS x, round(count(doc_id) FILTER (rel = 1 AND rb <= 10) / 10.0::DOUBLE, 6) AS y FROM
     (SELECT q.*, a.rank AS ra, b.rank AS rb FROM qrels q LEFT JOIN a USING (topic_id, doc_id) LEFT JOIN b USING (topic_id, doc_id)) GROUP BY topic_id),
   s AS (SELECT list(x - y ORDER BY topic_id) AS ds FROM v), o AS (SELECT ds, list_sum(ds) / len(ds) AS obs FROM s),
-  draws AS (SELECT obs, len(ds) AS n, list_sum(list_transform(range(len(ds)), lambda i: ds[(('0x' || substr(md5(k || ':' || i), 1, 8))::BIGINT % len(ds)) + 1])) / len(ds) AS m FROM o, (SELECT range AS k FROM range(200)))
-SELECT 'elig/contamination_10' AS metric, any_value(n)::BIGINT AS n, round(any_value(obs), 6) AS diff, round(count(*) FILTER (round(abs(m - obs), 9) >= round(abs(obs), 9)) / 200.0::DOUBLE, 6) AS p FROM draws""")
+  draws AS (SELECT obs, len(ds) AS n, list_sum(list_transform(range(len(ds)), lambda i: ds[(('0x' || substr(md5(k || ':' || i), 1, 8))::BIGINT % len(ds)) + 1])) / len(ds) AS m FROM o, (SELECT range AS k FROM range(10000)))
+SELECT 'elig/contamination_10' AS metric, any_value(n)::BIGINT AS n, round(any_value(obs), 6) AS diff, round(count(*) FILTER (round(abs(m - obs), 9) >= round(abs(obs), 9)) / 10000.0::DOUBLE, 6) AS p FROM draws""")
 def paired_bootstrap_hash(spark, d):
     a, b, q = judged(spark, d)
     both = evaluation.contamination_at(a, q).withColumn("system", F.lit("a")).unionByName(evaluation.contamination_at(b, q).withColumn("system", F.lit("b")))
@@ -485,16 +546,38 @@ def verify_profile(spark, d):
     return p.select("conv_id", "turn", profiles.n_values(F.col("profile")).alias("n_values"), profiles.verify_profile(F.col("profile"), F.col("narrative"))[1].alias("n_dropped"))
 
 
-@query("SELECT count(*) AS n, count(*) AS n_ok FROM conversations WHERE role = 'user'")
+def flawed_profiles(spark, d):
+    """The profiles, with a wrong unit where the turn is divisible by 8, a wrong sex by 9, and a nameless condition by 7."""
+    p, turn = F.col("profile"), F.col("turn")
+    age = F.when(turn % 8 == 0, F.struct(p["age"]["value"].alias("value"), F.lit("decades").alias("unit"), p["age"]["evidence"].alias("evidence"))).otherwise(p["age"])
+    sex = F.when(turn % 9 == 0, F.struct(F.lit("unknown").alias("value"), p["sex"]["evidence"].alias("evidence"))).otherwise(p["sex"])
+    nameless = F.array(F.struct(F.lit("").alias("name"), F.lit("present").alias("status"), F.lit("").alias("evidence")))
+    conditions = F.when(turn % 7 == 0, nameless).otherwise(p["conditions"])
+    return profile_rows(spark, d).withColumn("profile", F.struct(age.alias("age"), sex.alias("sex"), conditions.alias("conditions"), *(p[f].alias(f) for f in profiles.LISTS[1:])))
+
+
+_VALID = "(turn % 8 <> 0 AND turn % 9 <> 0 AND turn % 7 <> 0)"
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER ({_VALID}) AS n_ok FROM conversations WHERE role = 'user'")
 def schema_ok(spark, d):
-    return profile_rows(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(profiles.schema_ok(F.col("profile"))).alias("n_ok"))
+    return flawed_profiles(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(profiles.schema_ok(F.col("profile"))).alias("n_ok"))
+
 
+NOTES = [
+    ("A 45-year-old man denies pain.", '{"age": {"value": 45, "unit": "years", "evidence": "45-year-old"}, "sex": {"value": "male", "evidence": "man"}, "conditions": [{"name": "pain", "status": "negated", "evidence": "denies pain"}]}'),
+    ("A 30 yo F without fever.", '{"age": {"value": 31, "unit": "years", "evidence": "30 yo"}, "sex": {"value": "female", "evidence": "F"}, "conditions": [{"name": "fever", "status": "present", "evidence": "fever"}]}'),
+    ("A 7 weeks old girl.", '{"age": {"value": 7, "unit": "weeks", "evidence": "7 weeks"}, "sex": {"value": "male", "evidence": "boy"}}'),
+    ("Nothing is stated.", '{"conditions": [{"name": "x", "status": "maybe", "evidence": "x"}]}'),
+    (" ".join(["word"] * 40), '{"conditions": [{"name": "long", "status": "present", "evidence": "' + " ".join(["word"] * 35) + '"}, {"name": "short", "status": "present", "evidence": "word"}]}'),
+]
 
-@query(f"""SELECT 'rules' AS model, count(*) AS n, 100.0::DOUBLE AS schema_valid, round(100.0::DOUBLE * sum(held) / sum(held + (turn % 3 = 0)::INT), 6) AS grounding, 100.0::DOUBLE AS localized, round(sum(held)::DOUBLE / count(*), 6) AS coverage
-  FROM (SELECT turn, (turn % 4 = 0)::INT + least(3, len({_ENTITY})) + greatest(0, least(3, len({_ENTITY}) - 1)) AS held FROM conversations WHERE role = 'user')""")
+
+@query("""SELECT 'notes' AS model, 5::BIGINT AS n, 80.0::DOUBLE AS schema_valid, 90.0::DOUBLE AS grounding, 88.888889::DOUBLE AS localized, 66.666667::DOUBLE AS age_acc, 66.666667::DOUBLE AS sex_acc, 2.25::DOUBLE AS coverage, 50.0::DOUBLE AS neg_recall, 2.0::DOUBLE AS sec_per_call""")
 def extraction_scorecard(spark, d):
-    r = profile_rows(spark, d).withColumn("model", F.lit("rules")).withColumn("seconds", F.lit(1.0))
-    return profiles.scorecard(r).select("model", "n", "schema_valid", "grounding", "localized", "coverage")
+    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("narrative"), F.lit(p).alias("raw")) for n, p in NOTES))))
+    r = rows.select(F.lit("notes").alias("model"), "narrative", profiles.parse_profile(F.col("raw")).alias("profile"), F.lit(2.0).alias("seconds"))
+    return profiles.scorecard(r)
 
 
 # ---- decisions --------------------------------------------------------------------------------------------------------------
@@ -503,10 +586,10 @@ DEC = """
   ev AS (SELECT user_id AS topic_id, strftime(ts, '%Y-%m-%d') AS nct_id, * FROM events),
   dec0 AS (SELECT topic_id, nct_id, (row_number() OVER (PARTITION BY topic_id, nct_id ORDER BY event_id) - 1)::INT AS criterion_idx, CASE event_id % 3 WHEN 0 THEN 'inclusion' WHEN 1 THEN 'exclusion' ELSE 'unknown' END AS section,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'satisfied' WHEN event_type = 'error' THEN 'violated' ELSE 'unverifiable' END AS label,
-    CASE WHEN event_id % 5 = 0 THEN 'No prior ' || event_type ELSE 'Known ' || event_type || ' ' || props END AS criterion_quote, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'reported ' || event_type END AS patient_evidence FROM ev),
+    CASE WHEN event_id % 5 = 0 THEN 'No prior ' || event_type ELSE 'Known ' || event_type || ' ' || props END AS criterion_quote, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'otherwise healthy' ELSE 'reported ' || event_type END AS patient_evidence FROM ev),
   base AS (SELECT topic_id, nct_id, round(sum(value), 6) AS score, CASE WHEN sum(value) >= 50 THEN 2 WHEN count(*) >= 3 THEN 1 ELSE 0 END AS rel FROM ev GROUP BY ALL),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, nct_id) AS rank, count(*) OVER (PARTITION BY topic_id) AS size FROM base),
-  pairs AS (SELECT topic_id, nct_id FROM ranked WHERE rank <= 10),
+  pairs AS (SELECT topic_id, nct_id FROM ranked),
   dec AS (SELECT dec0.* FROM dec0 JOIN pairs USING (topic_id, nct_id))"""
 SCORES = r"""
   k AS (SELECT topic_id, nct_id, count(*) AS n, count(*) FILTER (label = 'satisfied') AS sat, count(*) FILTER (label = 'unverifiable') AS unv, count(*) FILTER (label = 'violated') AS vio_any,
@@ -527,17 +610,14 @@ def base_run(spark, d) -> DataFrame:
 
 
 def decided(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Pairs (the first ten of each topic) and their decisions."""
-    from pyspark.sql import Window
-
+    """All pairs and their decisions."""
     nth = F.row_number().over(Window.partitionBy("topic_id", "nct_id").orderBy("event_id")) - 1
     section = F.when(F.col("event_id") % 3 == 0, "inclusion").when(F.col("event_id") % 3 == 1, "exclusion").otherwise("unknown")
     label = F.when(F.col("event_type").isin("purchase", "signup"), "satisfied").when(F.col("event_type") == "error", "violated").otherwise("unverifiable")
     quote = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("No prior "), "event_type")).otherwise(F.concat(F.lit("Known "), "event_type", F.lit(" "), "props"))
-    evidence = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("reported "), "event_type"))
+    evidence = F.when(F.col("event_id") % 7 == 0, "").when(F.col("event_id") % 5 == 1, "otherwise healthy").otherwise(F.concat(F.lit("reported "), "event_type"))
     every = events(spark, d).select("topic_id", "nct_id", nth.cast("int").alias("criterion_idx"), section.alias("section"), label.alias("label"), quote.alias("criterion_quote"), evidence.alias("patient_evidence"))
-    pairs = lexical.top_k(base_run(spark, d), 10, ["topic_id"], "nct_id").select("topic_id", "nct_id")
-    return pairs, every.join(pairs, ["topic_id", "nct_id"])
+    return base_run(spark, d).select("topic_id", "nct_id"), every
 
 
 def scored(spark, d, infer: bool = True) -> DataFrame:
@@ -646,8 +726,7 @@ def label_stats_abstention(spark, d):
 
 @query(f"WITH {DEC} {_STATS} (SELECT CASE WHEN label = 'unverifiable' THEN CASE section WHEN 'exclusion' THEN 'violated' ELSE 'satisfied' END ELSE label END AS label FROM dec)")
 def forced_ablation(spark, d):
-    forced = F.when(F.col("label") != "unverifiable", F.col("label")).when(F.col("section") == "exclusion", "violated").otherwise("satisfied")
-    return decisions.label_stats(decided(spark, d)[1].withColumn("label", forced))
+    return decisions.label_stats(decisions.forced(decided(spark, d)[1]))
 
 
 _SUPPORTS = "len(list_intersect(list_distinct(regexp_extract_all(lower(patient_evidence), '[a-z0-9]{4,}')), list_distinct(regexp_extract_all(lower(criterion_quote), '[a-z0-9]{4,}')))) > 0"
@@ -690,15 +769,29 @@ def error_buckets_triage(spark, d):
     return errors.triage(cases, decided(spark, d)[1], narratives, visible)
 
 
-@query(f"""WITH {DEC}, {INFER}, {CASES}, f AS (SELECT topic_id, nct_id, count(*) AS n, count(*) FILTER (label = 'unverifiable') AS unv, count(*) FILTER (section = 'exclusion' AND label = 'satisfied' AND NOT {_SUPPORTS}) AS zero FROM dec GROUP BY ALL)
-  SELECT bucket, count(*) AS n, count(DISTINCT topic_id) AS n_topics, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM (SELECT topic_id, CASE WHEN strict = 0 THEN 'A_ranking_artifact' WHEN zero = 0 AND unv >= 0.6::DOUBLE * n THEN 'C_unverifiable_dominated' WHEN zero = 0 THEN 'D_other' ELSE 'B1_irrelevant_quote' END AS bucket FROM cases JOIN f USING (topic_id, nct_id)) GROUP BY bucket""")
-def error_buckets_phase11(spark, d):
+TAXONOMY = f"""f AS (SELECT topic_id, nct_id, count(*) AS n, count(*) FILTER (label = 'unverifiable') AS unv, count(*) FILTER (cleared AND sweeping) AS neg, count(*) FILTER (cleared AND NOT sweeping AND NOT {_SUPPORTS}) AS zero
+    FROM (SELECT *, section = 'exclusion' AND label = 'satisfied' AS cleared, patient_evidence LIKE '%otherwise healthy%' AS sweeping FROM dec) GROUP BY ALL),
+  tax AS (SELECT topic_id, nct_id, CASE WHEN strict = 0 THEN 'A_ranking_artifact' WHEN neg + zero = 0 AND unv >= 0.6::DOUBLE * n THEN 'C_unverifiable_dominated' WHEN neg + zero = 0 THEN 'D_other' WHEN neg >= zero THEN 'B2_global_negation_overreach' ELSE 'B1_irrelevant_quote' END AS bucket,
+    CASE WHEN strict = 0 THEN 0 ELSE neg + zero END::BIGINT AS unsupported, CASE WHEN strict = 0 THEN 0 ELSE neg END::BIGINT AS n_global_neg, CASE WHEN strict = 0 THEN 0 ELSE zero END::BIGINT AS n_zero_overlap, 0::BIGINT AS n_demographic_ok FROM cases JOIN f USING (topic_id, nct_id))"""
+
+
+def taxonomy_cases(spark, d) -> DataFrame:
     cases, narratives = _cases(spark, d)
-    pairs, dec = decided(spark, d)
+    _, dec = decided(spark, d)
     # a criterion of the analogue is its decision's own quote; a record is a pair, so that its criteria are its own
     own = dec.select(F.concat_ws("|", "topic_id", "nct_id").alias("nct_id"), F.col("criterion_idx").alias("idx"), "section", F.col("criterion_quote").alias("text"))
     keyed = lambda df: df.withColumn("nct_id", F.concat_ws("|", "topic_id", "nct_id"))
-    return errors.bucket_counts(errors.taxonomy(keyed(cases.where("reasoned")), keyed(dec), narratives, own))
+    return errors.taxonomy(keyed(cases.where("reasoned")), keyed(dec), narratives, own)
+
+
+@query(f"WITH {DEC}, {INFER}, {CASES}, {TAXONOMY} SELECT * FROM tax")
+def error_taxonomy_cases(spark, d):
+    return taxonomy_cases(spark, d).withColumn("nct_id", F.substring_index("nct_id", "|", -1))
+
+
+@query(f"WITH {DEC}, {INFER}, {CASES}, {TAXONOMY} SELECT bucket, count(*) AS n, count(DISTINCT topic_id) AS n_topics, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS percent FROM tax GROUP BY bucket")
+def error_buckets_phase11(spark, d):
+    return errors.bucket_counts(taxonomy_cases(spark, d))
 
 
 @query(f"WITH {DEC}, {INFER} SELECT topic_id, nct_id, strict AS score, n AS n_criteria, sat AS n_satisfied, vio_any AS n_violated, unv AS n_unverifiable, CASE WHEN vio_any > 0 THEN 'Likely ineligible' ELSE 'Potentially eligible' END || ' — ' || (sat + vio_any) || ' of ' || n || ' criteria verified — requires clinician review.' AS headline, l AS labels FROM scores JOIN (SELECT topic_id, nct_id, string_agg(label, ',' ORDER BY criterion_idx) AS l FROM dec GROUP BY ALL) USING (topic_id, nct_id)")
@@ -736,6 +829,135 @@ def claim_count_stats(spark, d):
     return n.agg(F.percentile("n", 0.5).alias("median_claims"), F.max("n").alias("most"), F.count_if(F.col("n") >= 3).alias("at_least_3"))
 
 
+# ---- files and caches, through the shared folder -----------------------------------------------------------------------------
+
+TRIALS = [
+    "<clinical_study><id_info><nct_id>NCT1</nct_id></id_info><brief_title> A  title </brief_title><condition>Asthma</condition><condition> Cough </condition><condition_browse><mesh_term>Lung</mesh_term></condition_browse>"
+    "<eligibility><criteria><textblock>\n  Inclusion Criteria:\n\n  - Adults\n  - Able to walk\n</textblock></criteria><gender>All</gender><minimum_age>18 Years</minimum_age><maximum_age>N/A</maximum_age></eligibility></clinical_study>",
+    "<clinical_study><id_info><nct_id>NCT2</nct_id></id_info><eligibility><minimum_age>6 Months</minimum_age></eligibility><intervention><intervention_type>Drug</intervention_type><intervention_name>Aspirin</intervention_name></intervention></clinical_study>",
+    "<clinical_study><brief_title>no id</brief_title></clinical_study>",
+]
+
+
+@query("""SELECT * FROM (VALUES ('NCT1', 'A title', 'All', 18.0::DOUBLE, NULL::DOUBLE, 'N/A', 'Asthma|Cough', 'Lung/condition', '', 'bulleted', 2), ('NCT2', NULL, NULL, 0.5, NULL, NULL, '', '', 'Aspirin/Drug', 'none', 0))
+  v(nct_id, title, gender, min_age_years, max_age_years, max_age_raw, conditions, mesh, interventions, parse_method, n_criteria)""")
+def trials_parse(spark, d):
+    raw = readers.trials_of_strings(spark.range(1).select(F.explode(F.array(*map(F.lit, TRIALS))).alias("x")), "x")
+    full, _ = readers.build_corpus(readers.parse_trials(raw))
+    pairs = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x[a], x[b])), "|")
+    return full.select("nct_id", "title", "gender", "min_age_years", "max_age_years", "max_age_raw", F.array_join("conditions", "|").alias("conditions"), pairs("mesh", "term", "source").alias("mesh"), pairs("interventions", "term", "itype").alias("interventions"), "parse_method", "n_criteria")
+
+
+@query(r"SELECT doc_id::VARCHAR AS id, md5(coalesce(text, '')) AS digest FROM documents")
+def jsonl_round_trip(spark, d):
+    path = store.new_path(spark, "jsonl")
+    sinks.write_jsonl(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("contents")), path)
+    return readers.read_jsonl(spark, path).select("id", F.md5("contents").alias("digest"))
+
+
+@query(f"{RUNS} SELECT topic_id::VARCHAR AS topic_id, doc_id::VARCHAR AS doc_id, score, rank::INT AS stored_rank FROM a")
+def run_round_trip(spark, d):
+    path = store.new_path(spark, "run")
+    sinks.write_run(runs(spark, d)[0].drop("rank"), path, "lex")
+    return readers.read_run(spark, path)
+
+
+@query("SELECT vec_id::VARCHAR AS doc_id, 0 AS chunk_idx, len(embedding) AS dim, 1.0::DOUBLE AS length FROM embeddings")
+def vectors_round_trip(spark, d):
+    path = store.new_path(spark, "vectors")
+    v = t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_idx"), F.col("embedding").alias("vec"))
+    sinks.write_vectors(v, path, "table", 320, 40)
+    return readers.read_vectors(spark, path).select("doc_id", "chunk_idx", F.size("vec").cast("long").alias("dim"), F.round(F.sqrt(dense.dot(F.col("vec"), F.col("vec"))), 4).alias("length"))
+
+
+@query(r"""SELECT count(*) AS n_checked, 0::BIGINT AS n_wrong FROM (SELECT doc_id FROM documents LIMIT 50)""")
+def export_point_check(spark, d):
+    docs = t(spark, d, "documents")
+    contents = corpus.retrieval_text(F.trim(F.split("text", "\n")[0]), F.col("source"), F.array("lang"))
+    path = store.new_path(spark, "export")
+    sinks.write_jsonl(docs.select(F.col("doc_id").cast("string").alias("id"), contents.alias("contents")), path)
+    return corpus.check_export(readers.read_jsonl(spark, path), docs, contents, 50)
+
+
+# ---- model-backed steps, with a rule in place of a model ---------------------------------------------------------------------
+
+#: Criteria of the analogue: three of each document, on words that narratives have or don't have.
+_CRITERIA_SQL = "crit AS (SELECT doc_id::VARCHAR AS nct_id, idx::INT AS idx, CASE idx WHEN 0 THEN 'inclusion' WHEN 1 THEN 'exclusion' ELSE 'unknown' END AS section, CASE idx WHEN 0 THEN 'needs ' || lang WHEN 1 THEN 'no narrative' ELSE 'absent zzzz' END AS text FROM documents, (SELECT unnest([0, 1, 2]) AS idx))"
+
+
+def doc_criteria(spark, d) -> DataFrame:
+    section = F.when(F.col("idx") == 0, "inclusion").when(F.col("idx") == 1, "exclusion").otherwise("unknown")
+    text = F.when(F.col("idx") == 0, F.concat(F.lit("needs "), "lang")).when(F.col("idx") == 1, "no narrative").otherwise("absent zzzz")
+    return t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("nct_id"), "lang", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("idx")).select("nct_id", "idx", section.alias("section"), text.alias("text"))
+
+
+def doc_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each document with the topic of its source, and what the topics say."""
+    docs = t(spark, d, "documents")
+    said = docs.select(F.col("source").alias("topic_id")).distinct().withColumn("narrative", F.concat(F.lit("a narrative that needs "), "topic_id"))
+    return docs.select(F.col("source").alias("topic_id"), F.col("doc_id").cast("string").alias("nct_id")), said
+
+
+#: The rule provider: a criterion is unverifiable if none of its words of four letters and more is said, violated if it begins with no.
+_REASONED = f"""WITH {_CRITERIA_SQL}, p AS (SELECT DISTINCT source AS topic_id, doc_id::VARCHAR AS nct_id FROM documents WHERE source IS NOT NULL),
+  a AS (SELECT topic_id, nct_id, idx, section, CASE idx WHEN 0 THEN 'satisfied' WHEN 1 THEN 'violated' ELSE 'unverifiable' END AS label FROM p JOIN crit USING (nct_id))"""
+
+
+@query(f"{_REASONED} SELECT topic_id, nct_id, idx AS criterion_idx, section, label FROM a")
+def reason_resume(spark, d):
+    pairs, said = doc_pairs(spark, d)
+    cache, half = store.new_path(spark, "decisions"), pairs.where("nct_id % 2 = 0")
+    crit = doc_criteria(spark, d)
+    reasoning.reason(half, crit, said, rule_provider(), cache)
+    # the second call asks only for what the first left
+    return reasoning.accepted(reasoning.reason(pairs, crit, said, rule_provider(), cache)).select("topic_id", "nct_id", "criterion_idx", "section", "label")
+
+
+@query(f"{_REASONED} SELECT topic_id, nct_id, 3::BIGINT AS n_criteria, 'ok' AS provider_status, count(*) AS n_decisions FROM a GROUP BY topic_id, nct_id")
+def reason_per_criterion(spark, d):
+    pairs, said = doc_pairs(spark, d)
+    out = reasoning.reason(pairs, doc_criteria(spark, d), said, rule_provider(), store.new_path(spark, "single"), per_call=1)
+    return out.select("topic_id", "nct_id", "n_criteria", "provider_status", F.size("decisions").cast("long").alias("n_decisions"))
+
+
+def note_provider(prompt: str) -> str | None:
+    """Stands in for an extractor: a condition of the prompt's first word; nothing for every short prompt, and no JSON for some."""
+    words = prompt.split()
+    if len(words) < 3:
+        return None
+    if len(words) % 5 == 0:
+        return "sorry"
+    return '{"conditions": [{"name": "%s", "status": "present", "evidence": "%s"}]}' % (words[0].replace('"', "").replace("\\", ""), words[0].replace('"', "").replace("\\", ""))
+
+
+_SAID = "(SELECT conv_id || '.' || turn AS topic_id, list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS ws FROM conversations WHERE role = 'user')"
+
+
+@query(f"SELECT topic_id, CASE WHEN len(ws) < 3 THEN 'none' WHEN len(ws) % 5 = 0 THEN 'invalid' ELSE 'ok' END AS provider_status, CASE WHEN len(ws) >= 3 AND len(ws) % 5 <> 0 THEN replace(replace(ws[1], '\"', ''), chr(92), '') END AS first_condition FROM {_SAID}")
+def extract_cached(spark, d):
+    said = t(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(".", "conv_id", "turn").alias("topic_id"), F.col("text").alias("narrative"))
+    cache = store.new_path(spark, "profiles")
+    reasoning.extract(said.where("topic_id < '5'"), note_provider, cache)
+    return reasoning.extract(said, note_provider, cache).select("topic_id", "provider_status", F.col("profile.conditions")[0]["name"].alias("first_condition"))
+
+
+@query("SELECT item_id::VARCHAR AS topic_id, stage, 'ok' AS status FROM benchmark, (SELECT unnest(['validated', 'retrieved', 'reasoned']) AS stage)")
+def match_full_events(spark, d):
+    out = match.match_full(topics(spark, d), index_of(spark, d), doc_criteria(spark, d), note_provider, rule_provider(), store.new_path(spark, "match"))
+    return out.events.where("stage != 'profiled'").select("topic_id", "stage", "status")
+
+
+@query("SELECT item_id::VARCHAR AS topic_id, 5::BIGINT AS n_cards, 15::BIGINT AS n_rank FROM benchmark")
+def match_full_cards(spark, d):
+    out = match.match_full(topics(spark, d), index_of(spark, d), doc_criteria(spark, d), note_provider, rule_provider(), store.new_path(spark, "match"))
+    return out.cards.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_cards"), F.sum("rank").alias("n_rank"))
+
+
+@query("SELECT * FROM (VALUES ('official/ndcg_10', true), ('eligible/ndcg_10', true), ('elig/contamination_10', true), ('elig/judged_10', true), ('adversarial: eligible below official', true), ('adversarial: more contamination', true)) v(\"check\", ok)")
+def measures_self_test(spark, d):
+    return evaluation.self_test(spark)
+
+
 # ---- quotas and serving -----------------------------------------------------------------------------------------------------
 
 
@@ -744,7 +966,11 @@ def quota_sliding_hour(spark, d):
     return quota.arrivals_in_hour(t(spark, d, "events"), "user_id").select("event_id", "user_id", "n_before")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, []::DOUBLE[] AS times, NULL::BOOLEAN AS allowed FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT user_id, k, event_id, CASE WHEN len(kept) < 3 THEN list_append(kept, t) ELSE kept END, len(kept) < 3 FROM (
+      SELECT e.user_id, e.k, e.event_id, e.t, list_filter(r.times, lambda x: e.t - x <= 3600) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+  SELECT user_id, event_id, allowed FROM r WHERE k > 0""")
 def quota_admitted(spark, d):
     return quota.admitted_batch(t(spark, d, "events"), "user_id", "ts", "event_id")
 
@@ -756,7 +982,7 @@ def quota_daily_cap(spark, d):
 
 @query(f"""{RUNS} SELECT topic_id, doc_id, score, rank FROM {ranked_sql("(SELECT topic_id, doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL)")} WHERE rank <= 5""")
 def match_batch(spark, d):
-    return match.match_batch(topics(spark, d), lexical.build_index(t(spark, d, "documents")))
+    return match.match_batch(topics(spark, d), index_of(spark, d))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.segment import criteria_rows, segment_column
 from ..functions.text import age_raw, age_years, flat, normalize_block
+from .store import exists
 
 _TEXTBLOCK = "struct<textblock:string>"
 TRIAL_XML = (
@@ -23,6 +27,11 @@ def read_trial_xml(spark: SparkSession, path: str) -> DataFrame:
     return reader.load(path)
 
 
+def trials_of_strings(df: DataFrame, xml_col: str) -> DataFrame:
+    """The same records from XML strings, one record each."""
+    return df.select(F.from_xml(F.col(xml_col), TRIAL_XML, {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def _list(c: Column) -> Column:
     return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), flat), lambda x: x.isNotNull())
 
@@ -57,7 +66,9 @@ def read_topics(spark: SparkSession, path: str, year: int) -> DataFrame:
     """topic_id (`year_number`) and narrative; topics without a number are skipped."""
     raw = spark.read.format("xml").schema("_number string, _VALUE string").options(rowTag="topic").load(path)
     t = raw.select(F.trim("_number").alias("n"), flat(F.col("_VALUE")).alias("narrative")).where("n is not null and n != ''")
-    return t.select(F.concat_ws("_", F.lit(str(year)), "n").alias("topic_id"), F.coalesce("narrative", F.lit("")).alias("narrative")).dropDuplicates(["topic_id"])
+    t = t.select(F.concat_ws("_", F.lit(str(year)), "n").alias("topic_id"), F.coalesce("narrative", F.lit("")).alias("narrative"))
+    # of two topics with one number the first by its text stays, whatever the partitions
+    return t.groupBy("topic_id").agg(F.min("narrative").alias("narrative"))
 
 
 def parse_qrels(lines: DataFrame, year: int | None = None) -> DataFrame:
@@ -98,20 +109,36 @@ class StaleCache(Exception):
     """A cache was made with another prompt or model."""
 
 
-def read_cache(spark: SparkSession, path: str, schema: str, prompt_hash: str, strict: bool = False) -> DataFrame:
-    """Cached records of a prompt hash. A missing cache is empty; with `strict` a cache that has only other hashes is an error."""
-    from pyspark.errors import AnalysisException
+CACHE_PARTS = "year int, model string, mode string, prompt_hash string"
+
 
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def read_cache(spark: SparkSession, path: str, schema: str, prompt_hash: str, strict: bool = False, **parts) -> DataFrame:
+    """Cached records of a prompt hash (and of a year, model and mode if given). A path that doesn't exist is an empty cache, any
+    other trouble with it an error; with `strict` a cache that has only other hashes is one, too, and so is no cache."""
+    if not exists(spark, path):
+        if strict:
+            raise FileNotFoundError(path)
+        return spark.createDataFrame([], f"{schema}, {CACHE_PARTS}")
+    df = spark.read.schema(f"{schema}, {CACHE_PARTS}").parquet(path)
     own = df.where(F.col("prompt_hash") == prompt_hash)
     if strict and own.isEmpty() and not df.isEmpty():
         raise StaleCache(f"{path} has no records of prompt {prompt_hash}")
+    for name, value in parts.items():
+        own = own.where(F.col(name) == F.lit(value))
     return own
 
 
+def load_result(path: str) -> dict:
+    """An experiment log."""
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
+def load_rows(spark: SparkSession, path: str) -> DataFrame:
+    """topic_id, metric, value of an experiment log."""
+    rows = [(str(r["topic_id"]), r["metric"], r["value"]) for r in load_result(path)["per_topic"]]
+    return spark.createDataFrame(rows, "topic_id string, metric string, value double")
+
+
 def load_template(name: str) -> str:
     """A packaged prompt template."""
     from importlib.resources import files

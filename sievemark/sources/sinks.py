@@ -10,7 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dense import normalised
 from ..operators.lexical import top_k
+from .store import delete, exists, rename
 
 SHARD_ROWS = 100_000
 
@@ -45,6 +47,19 @@ def append_cache(records: DataFrame, path: str) -> None:
     records.write.mode("append").partitionBy("year", "model", "mode", "prompt_hash").parquet(path)
 
 
+def save_cache(records: DataFrame, path: str) -> None:
+    """Puts a whole cache in the place of the one at a path: it is written aside first, and the old one is kept as `.bak` until
+    the new one stands, so a reader never finds half of it."""
+    spark = records.sparkSession
+    aside, backup = f"{path}.new", f"{path}.bak"
+    for old in (aside, backup):
+        delete(spark, old)
+    records.write.partitionBy("year", "model", "mode", "prompt_hash").parquet(aside)
+    if exists(spark, path):
+        rename(spark, path, backup)
+    rename(spark, aside, path)
+
+
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The table with rows of the same keys replaced."""
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
@@ -62,7 +77,8 @@ def log_result(path: str, tag: str, config: dict, aggregate: DataFrame, per_topi
 
 
 def write_vectors(vectors: DataFrame, path: str, model: str, chunk_words: int, overlap: int) -> None:
-    """doc_id, chunk_idx, vec, with the model and chunk sizes beside every row (they compress to nothing)."""
+    """doc_id, chunk_idx, vec of length 1, with the model and chunk sizes beside every row (they compress to nothing)."""
+    vectors = normalised(vectors)
     meta = {"model": model, "chunk_words": chunk_words, "chunk_overlap": overlap}
     vectors.select("doc_id", "chunk_idx", "vec", *(F.lit(v).alias(k) for k, v in meta.items())).write.mode("overwrite").parquet(path)
 
@@ -74,3 +90,10 @@ def report_order(averages: DataFrame) -> DataFrame:
     """Averages with `ord`: the fixed order of a report, metrics it doesn't name after the others."""
     place = F.array_position(F.array(*map(F.lit, REPORT_ORDER)), F.col("metric"))
     return averages.withColumn("ord", F.when(place > 0, place).otherwise(len(REPORT_ORDER) + 1).cast("int"))
+
+
+def comparison_report(compared: DataFrame) -> DataFrame:
+    """Lines of a significance report, in its order: `b - a  metric  n  diff  [low, high]  p` and a star below 0.05."""
+    star = F.when(F.col("p") < 0.05, " *").otherwise("")
+    line = F.concat(F.format_string("%s - %s  %s  n=%d  %+.4f  [%+.4f, %+.4f]  p=%.4f", "system_a", "system_b", "metric", "n", "diff", "ci_lo", "ci_hi", "p"), star)
+    return report_order(compared).select("system_a", "system_b", "metric", "ord", line.alias("line")).orderBy("system_a", "system_b", "ord", "metric")

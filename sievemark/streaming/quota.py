@@ -6,11 +6,13 @@ budget is charged only by requests that finish.
 
 from __future__ import annotations
 
+import json
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,24 @@ def admit(times: list[float], now: float, limit: int = PER_HOUR, span: float = H
 def admitted_batch(requests: DataFrame, client: str = "client", at: str = "ts", key: str = "request_id", limit: int = PER_HOUR, span: int = HOUR) -> DataFrame:
     """Requests with `allowed`, client by client in time order: the stateful semantics on a finished table.
 
-    State is a fold over the client's requests that holds at most `limit` times, in column expressions.
+    A client's requests are a sequence, so they pass through one task, but as a stream: batches of sorted rows go by, and
+    only the at most `limit` times that still count are carried on.
     """
-    g = requests.groupBy(client).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("timestamp").cast("double").alias("t"), F.col(key).alias("k")))).alias("rs"))
+    kinds = {c: requests.schema[c].dataType.simpleString() for c in (client, key)}
+    rows = requests.select(F.col(client).alias("client"), F.col(at).cast("timestamp").cast("double").alias("t"), F.col(key).alias("key"))
 
-    def step(acc: Column, r: Column) -> Column:
-        kept = F.filter(acc["times"], lambda t: r["t"] - t <= span)
-        ok = F.size(kept) < limit
-        return F.struct(F.when(ok, F.concat(kept, F.array(r["t"]))).otherwise(kept).alias("times"), F.concat(acc["out"], F.array(F.struct(r["k"].alias("k"), ok.alias("ok")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, times = object(), []
+        for b in batches:
+            allowed = []
+            for c, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if c != who:
+                    who, times = c, []
+                ok, times = admit(times, t, limit, span)
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(allowed, pa.bool_())], names=[client, key, "allowed"])
 
-    kind = requests.schema[key].dataType.simpleString()
-    start = F.struct(F.array().cast("array<double>").alias("times"), F.array().cast(f"array<struct<k:{kind},ok:boolean>>").alias("out"))
-    return g.select(client, F.explode(F.aggregate("rs", start, step, lambda acc: acc["out"])).alias("o")).select(client, F.col("o.k").alias(key), F.col("o.ok").alias("allowed"))
+    return rows.repartition("client").sortWithinPartitions("client", "t", "key").mapInArrow(run, f"`{client}` {kinds[client]}, `{key}` {kinds[key]}, allowed boolean")
 
 
 def arrivals_in_hour(requests: DataFrame, client: str = "client", at: str = "ts", span: int = HOUR) -> DataFrame:
@@ -100,6 +108,47 @@ def limit_stream(requests: DataFrame, client: str = "client", at: str = "ts", ke
     return watched.groupBy(client).applyInPandasWithState(step, f"`{client}` {kinds[client]}, `{key}` {kinds[key]}, allowed boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def reserve_stream(events: DataFrame, at: str = "ts", key: str = "request_id", cap: int = DAY_CAP, watermark: str = "1 hour") -> DataFrame:
+    """Reservations and their ends with `granted` and `used`, by UTC day, as a stateful stream that survives restarts.
+
+    events has kind (`reserve`, `commit` or `release`), a key and calls. A reservation is granted if used and reserved calls and its
+    own fit into the day's cap; a commit charges what was really called and ends the reservation, a release ends it
+    without a charge. What follows no granted reservation changes nothing. A day's state is its used calls and its open
+    reservations; it is dropped once event time has passed the day.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind = events.schema[key].dataType.simpleString()
+
+    def step(day: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        used, open_ = (state.get[0], json.loads(state.get[1])) if state.exists else (0, {})
+        rows, out = pd.concat(list(frames)), []
+        for _, r in rows.sort_values([at, key, "kind"]).iterrows():
+            used, open_, granted = settle(used, open_, r["kind"], str(r[key]), int(r["calls"]), cap)
+            out.append((day[0], r[key], r["kind"], granted, used))
+        state.update((used, json.dumps(open_)))
+        end = int((pd.Timestamp(day[0]) + pd.Timedelta(days=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["day", key, "kind", "granted", "used"])
+
+    watched = events.withWatermark(at, watermark).withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+    return watched.groupBy("day").applyInPandasWithState(step, f"day string, `{key}` {kind}, kind string, granted boolean, used long", "used long, open string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def settle(used: int, open_: dict[str, int], kind: str, key: str, calls: int, cap: int = DAY_CAP) -> tuple[int, dict[str, int], bool | None]:
+    """Used calls and open reservations after an event, and whether a reservation was granted (null for its end)."""
+    if kind == "reserve":
+        ok = key not in open_ and reserve(used + sum(open_.values()), calls, cap)
+        return used, {**open_, key: calls} if ok else open_, ok
+    if key in open_:
+        open_ = {k: n for k, n in open_.items() if k != key}
+        used += calls if kind == "commit" else 0
+    return used, open_, None
+
+
 def daily_stream(requests: DataFrame, at: str = "ts", watermark: str = "1 hour") -> DataFrame:
     """A stream of (day, used): calls of finished requests by UTC day. requests has calls and done."""
     day = F.window(at, "1 day")
