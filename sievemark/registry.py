@@ -144,7 +144,7 @@ def query_prepare(spark, d):
 
 @query(f"{RUNS} SELECT topic_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' lex' AS value FROM a")
 def run_file_lines(spark, d):
-    return sinks.run_lines(runs(spark, d)[0], "lex", 100)
+    return sinks.run_lines(runs(spark, d)[0], "lex", 1000)
 
 
 @query(f"{QRELS} SELECT topic_id::VARCHAR AS topic_id, doc_id::VARCHAR AS doc_id, rel FROM qrels")
@@ -358,7 +358,7 @@ def union_recall(spark, d):
 _OVERLAP = f"round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+'))))::DOUBLE / len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))), 6)"
 
 
-@query(f"{RUNS}, s AS (SELECT topic_id, a.doc_id, {_OVERLAP} AS score FROM a JOIN benchmark q ON q.item_id = topic_id JOIN documents d ON d.doc_id = a.doc_id) SELECT topic_id, doc_id, score, rank FROM {ranked_sql('s')}")
+@query(f"{RUNS}, s AS (SELECT topic_id, a.doc_id, {_OVERLAP} AS score FROM a JOIN benchmark q ON q.item_id = topic_id JOIN documents d ON d.doc_id = a.doc_id WHERE rank <= 100) SELECT topic_id, doc_id, score, rank FROM {ranked_sql('s')}")
 def rerank_top100(spark, d):
     q = topics(spark, d).withColumnRenamed("narrative", "query")
     return rerank.rerank(runs(spark, d)[0], q, t(spark, d, "documents"), 100)
