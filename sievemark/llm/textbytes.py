@@ -6,7 +6,9 @@ task doesn't depend on the number of rows; only one text longer than the bound i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +42,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def releasing(run: Callable) -> Callable:
+    """A function of batches that gives freed memory back to the system when its task ends: a worker that waits for its next
+    task then holds little."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 class _Powers:
     """Powers of an odd base modulo 2**64, and of its inverse; they grow on demand."""
 
