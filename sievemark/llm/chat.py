@@ -85,10 +85,12 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     """Adds `layout` (a mapping's name) and `turns` (array of role and text) to JSON records of any known layout.
 
     An unreadable, null or unknown record keeps its row, with null in both. Fields that no mapping knows are ignored.
-    A null text or role in a known layout is empty.
+    A null text or role in a known layout is empty; texts may be as long as a string can be. Repeated rows are parsed
+    alike. All columns stay, whatever their names, but for columns named `layout` and `turns`, which the result replaces.
+    An empty table gives an empty table.
     """
-    r = F.col("_record")
-    parsed = records.withColumn("_record", F.from_json(F.col(record_col), RECORD, {"maxStringLen": str(2**31 - 1)}))
+    r, names = F.col("_record"), [c for c in records.columns if c not in ("layout", "turns")]
+    parsed = records.select(F.struct(*(records[c] for c in names)).alias("_row"), F.from_json(records[record_col], RECORD, {"maxStringLen": str(2**31 - 1)}).alias("_record"))
     parsed = parsed.withColumn("_print", row_fingerprint(r))
 
     def turns(m: Mapping) -> Column:
@@ -108,7 +110,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tu
     first = {(m.list_field, m.turns): m for m in reversed(mappings)}
     for key, hits in shared.items():
         chosen = F.when(reduce(lambda a, b: a | b, hits), turns(first[key])).otherwise(chosen)
-    return parsed.withColumn("layout", layout).withColumn("turns", chosen).drop("_record", "_print")
+    return parsed.withColumn("layout", layout).withColumn("turns", chosen).select("_row.*", "layout", "turns")
 
 
 @dataclass(frozen=True)
@@ -136,20 +138,21 @@ def format_turns(turns: DataFrame, keys: list[str], order: list[str], template:
 
     `turns` has a row per turn with `role` and `text` (null: empty). The spans cover the escaped texts of the roles
     that are trained on, and no mark. One shuffle by the keys serves the running offset and the grouping. Rows of
-    equal order stand by role and text, so repeated rows give one result. The conversation is the unit of work: a
-    single one must fit into a string, as its hash needs it in one piece.
+    equal order stand by role and text, null first, so repeated rows (which all stand there) give one result; null keys
+    are one conversation. Other columns aren't read, so their names don't matter. An empty table gives an empty one. The
+    conversation is the unit of work: a single one must fit into a string, as its hash needs it in one piece.
     """
+    turns = turns.select(*(F.struct(*(turns[c] for c in cs)).alias(name) for name, cs in (("_key", keys), ("_order", order))), turns["role"], turns["text"])
     head = F.concat(F.lit("<turn "), template.escape(F.coalesce("role", F.lit("")), role=True), F.lit(">"))
     body = template.escape(F.coalesce("text", F.lit("")))
     t = turns.withColumn("_head", head).withColumn("_body", body).withColumn("_loss", F.coalesce(F.col("role").isin(*template.loss_roles), F.lit(False)))
     t = t.withColumn("_n", F.length("_head") + F.length("_body") + len(template.close))
-    sequence = [*order, "role", "text"]
-    upto = Window.partitionBy(*keys).orderBy(*sequence).rowsBetween(Window.unboundedPreceding, -1)
-    nth = Window.partitionBy(*keys).orderBy(*sequence)
+    nth = Window.partitionBy("_key").orderBy("_order", "role", "text")
+    upto = nth.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_at", F.coalesce(F.sum("_n").over(upto), F.lit(0)) + F.length("_head")).withColumn("_nth", F.row_number().over(nth))
     piece = F.struct("_nth", F.concat("_head", "_body", F.lit(template.close)).alias("s"), F.when(F.col("_loss"), F.struct(F.col("_at").cast("int").alias("start"), F.length("_body").alias("length"))).alias("loss"))
-    g = t.groupBy(*keys).agg(F.sort_array(F.collect_list(piece)).alias("_p"))
-    return g.select(*keys, F.concat_ws("", F.transform("_p", lambda x: x["s"])).alias("formatted"), F.filter(F.transform("_p", lambda x: x["loss"]), lambda x: x.isNotNull()).alias("loss_spans"))
+    g = t.groupBy("_key").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
+    return g.select("_key.*", F.concat_ws("", F.transform("_p", lambda x: x["s"])).alias("formatted"), F.filter(F.transform("_p", lambda x: x["loss"]), lambda x: x.isNotNull()).alias("loss_spans"))
 
 
 def read_turns(formatted: Column, template: Template = Template()) -> Column:
@@ -185,8 +188,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(text) + 4 * (length(text) - length(replace(text, '&', ''))) + 3 * (length(text) - length(replace(text, '<', '')))
     + length(role) + 4 * (length(role) - length(replace(role, '&', ''))) + 3 * (length(role) - length(replace(replace(role, '<', ''), '>', ''))) + 15)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id

@@ -70,8 +70,9 @@ def fair_mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
 
     Only whole documents are taken, so a source can miss its target by a document. Entries that end at the same time
     are taken together or not at all. Null and empty texts have size 0 and nothing of them is taken. Null sources
-    are a source of their own, last in order. Equal ids (repeated rows) are separate entries next to each other.
-    An empty table, or one with no words, takes nothing.
+    are a source of their own, last in order. Equal ids (repeated rows) are separate entries next to each other, by size,
+    and null ids are one id. A very long text is one entry like any other. Other columns aren't read, so their names
+    don't matter. An empty table, or one with no words, takes nothing.
     """
     sizes = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), shuffle_key(F.col(id_col)).alias("key")))
     targets = cut(source_targets(sizes, weights, budget_share, max_repeats))

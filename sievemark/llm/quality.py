@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .langid import chosen_share, is_held_out
 from .tables import documents, table
-from .textbytes import NON_SPACE, Texts, byte_class, mix64, ngram_hashes, per_row, repeated, slices, span_hashes, spans
+from .textbytes import NON_SPACE, Texts, byte_class, mix64, ngram_hashes, per_row, releasing, repeated, slices, span_hashes, spans
 
 _CLASSES = {
     "upper": byte_class(lambda b: 0x41 <= b <= 0x5A),
@@ -131,7 +131,13 @@ class Forest:
 
 
 def train(docs: DataFrame, labels: DataFrame, how: BoostedTrees = BoostedTrees(), text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Forest:
-    """A forest from a bounded sample of labelled documents; `labels` has only rows that may be learned from."""
+    """A forest from a bounded sample of labelled documents; `labels` has only rows that may be learned from.
+
+    Labels other than 0 and 1 and null ids teach nothing. Null and empty texts are learned as empty, texts of any length
+    whole. Rows that repeat an id, in either table, count as often as they meet, and their order doesn't matter. Other
+    columns aren't read, so their names don't matter. Without a labelled document, or with labels of one kind only, every
+    score is that kind's share.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y"))
     counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     rate = F.lit(0.0)
@@ -140,13 +146,15 @@ def train(docs: DataFrame, labels: DataFrame, how: BoostedTrees = BoostedTrees()
     # about 20,000 rows of 16 bytes at most: bounded, so it may be broadcast
     chosen = known.where(chosen_share("_id", 2) < rate)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
                 x = statistics(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["y", "x"])
 
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_y", F.col(text_col)).mapInArrow(run, "y int, x array<double>").toArrow()
+    d = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    sample = d.join(F.broadcast(chosen), d["_doc"] == chosen["_id"]).select("_y", "_text").mapInArrow(run, "y int, x array<double>").toArrow()
     x = np.array(sample.column("x").to_pylist(), np.float64).reshape(-1, len(STATISTICS))
     y = np.array(sample.column("y").to_pylist(), np.float64)
     order = np.lexsort((*x.T, y))  # the same rows in any order make the same forest
@@ -154,9 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, how: BoostedTrees = BoostedTrees()
 
 
 def score_quality(docs: DataFrame, forest: Forest, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id and score (the chance of label 1) of every row, from whole texts; null counts as empty."""
+    """doc_id and score (the chance of label 1): one row per input row, from whole texts of any length.
+
+    A null text counts as empty. Ids may repeat or be null, and repeated rows get equal scores. Other columns aren't read,
+    so their names don't matter. An empty table gives an empty result.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):

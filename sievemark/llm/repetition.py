@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textbytes import NON_SPACE, Texts, byte_class, mix64, ngram_hashes, per_row, repeated, slices, span_hashes, spans
+from .textbytes import NON_SPACE, Texts, byte_class, mix64, ngram_hashes, per_row, releasing, repeated, slices, span_hashes, spans
 
 SYMBOL = byte_class(lambda b: chr(b) in "#*$%&|<>")
 NOT_NEWLINE = byte_class(lambda b: b != 0x0A)
@@ -98,11 +98,13 @@ _OUT = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbo
 def repetition_rules(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
     """One row per input row: id, counts, shares and the verdict `kept`.
 
-    A null or empty text has no words and fails the base rule (fewer than min_words). Repeated rows are judged
-    each by itself; other columns aren't read. An empty table gives an empty result.
+    A null or empty text has no words and fails the base rule (fewer than min_words). Very long texts are measured
+    whole. Ids may repeat or be null; repeated rows are judged each by itself and alike. Shares that equal a limit pass. Other
+    columns aren't read, so their names don't matter. An empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
