@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import documents
-from .textbytes import LOWER, Texts, slices
+from .textbytes import LOWER, Texts, releasing, slices
 
 
 @dataclass(frozen=True)
 class ByteConvNet:
     """window: bytes of a window; embed: numbers per byte; widths, filters: of the convolution; the rest: training.
 
-    The network learns from about docs_per_language documents of each of the most frequent max_languages languages,
-    chosen by a hash of the id, with windows_per_doc windows of each, spread over the whole text.
+    The network learns every language that an eligible row has, from about docs_per_language documents of each, chosen
+    by a hash of the id, with windows_per_doc windows of each, spread over the whole text.
     """
 
     window: int = 128
@@ -35,7 +35,6 @@ class ByteConvNet:
     rate: float = 0.01
     docs_per_language: int = 600
     windows_per_doc: int = 3
-    max_languages: int = 64
 
 
 def is_held_out(id_col: str, parts: int, part: int) -> Column:
@@ -130,16 +129,16 @@ def windows(t: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, how: ByteConvNet, text_col: str, lang_col: str, id_col: str, eligible: Column) -> tuple[list[str], Network | None]:
-    """Languages and a network, from a bounded sample of the rows that may be learned from."""
+    """Languages and a network, from a bounded sample of the rows that may be learned from: those that are eligible and have a
+    language and a letter. Null ids are one id, so their rows are chosen together or not at all; no such rows, no network."""
     d = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = d.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(how.max_languages).collect()
+    counts = d.groupBy(F.col(lang_col).alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return [], None
-    names = sorted(r[0] for r in counts)
-    rate = F.lit(0.0)
-    for name, n in counts:
-        rate = F.when(F.col(lang_col) == name, how.docs_per_language / n).otherwise(rate)
+    names = sorted(r.name for r in counts)
+    rate = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r.name, how.docs_per_language / r.n))), F.col(lang_col))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in slices(batch.column(1)):
@@ -159,40 +158,44 @@ def train(docs: DataFrame, how: ByteConvNet, text_col: str, lang_col: str, id_co
     return names, Network(how, len(names)).fit(x, y) if len(x) else None
 
 
-def predict_languages(docs: DataFrame, names: list[str], net: Network | None, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns in `keep`; whole texts, row by row.
+def judged(names: list[str], net: Network | None, text: Column) -> Column:
+    """A struct of lang_pred and score, from the whole text; texts go to Python once and only the verdicts come back."""
+    learned = pa.array([*names, "und"])
+
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: pa.Array, letters: pa.Array) -> pa.Array:
+        letter, best, score = letters.to_numpy(zero_copy_only=False), np.full(len(texts), len(names)), np.zeros(len(texts))
+        for t in slices(texts, 1 << 18) if net is not None else ():
+            x, row, length = windows(t, net.how.window)
+            p = net.probabilities(x) * length[:, None]
+            mass = np.stack([np.bincount(row, weights=p[:, k], minlength=t.rows) for k in range(len(names))], 1) / np.maximum(np.diff(t.at), 1)[:, None]
+            here = slice(t.first, t.first + t.rows)
+            best[here], score[here] = np.where(letter[here], mass.argmax(1), len(names)), np.where(letter[here], np.minimum(mass.max(1), 1.0).round(6), 0.0)
+        return pa.StructArray.from_arrays([learned.take(pa.array(best)), pa.array(score)], names=["lang_pred", "score"])
+
+    return run.asNondeterministic()(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
 
-    A null text, or one without a letter, is `und` with score 0, and so is everything if nothing could be learned.
+
+def identify_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", how: ByteConvNet = ByteConvNet(), eligible: Column | None = None) -> DataFrame:
+    """doc_id, lang_pred, score: one row per input row, after learning from the eligible rows' text and language.
+
+    Whole texts of any length are read, window by window. A null or empty text, or one without a letter, is `und` with score
+    0, and so is everything if nothing could be learned. Ids may repeat or be null; repeated rows are judged alike, and of
+    languages that tie the first by code point is taken. Other columns aren't read, so their names don't matter. An empty
+    table gives an empty result.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    d = docs.select(F.col(id_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"), F.col(text_col).alias("_text"), *keep)
-    learned = pa.array([*names, "und"])
+    names, net = train(docs, how, text_col, lang_col, id_col, F.lit(True) if eligible is None else eligible)
+    return docs.select(F.col(id_col), judged(names, net, F.col(text_col)).alias("_v")).select(id_col, "_v.lang_pred", "_v.score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            letter = batch.column(1).to_numpy(zero_copy_only=False)
-            for t in slices(batch.column(2), 1 << 18):
-                best, score = np.full(t.rows, len(names)), np.zeros(t.rows)
-                if net is not None:
-                    x, row, length = windows(t, net.how.window)
-                    mass = np.zeros((t.rows, len(names)))
-                    p = net.probabilities(x) * length[:, None]
-                    for k in range(len(names)):
-                        mass[:, k] = np.bincount(row, weights=p[:, k], minlength=t.rows)
-                    mass /= np.maximum(np.diff(t.at), 1)[:, None]
-                    ok = letter[t.first : t.first + t.rows]
-                    best, score = np.where(ok, mass.argmax(1), len(names)), np.where(ok, np.minimum(mass.max(1), 1.0), 0.0)
-                rest = [batch.column(3 + k).slice(t.first, t.rows) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), learned.take(pa.array(best)), pa.array(score), *rest], names=[id_col, "lang_pred", "score", *keep])
-
-    kept = "".join(f", `{c}` {fields[c]}" for c in keep)
-    return d.mapInArrow(run, f"`{id_col}` {fields[id_col]}, lang_pred string, score double{kept}")
-
-
-def identify_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", how: ByteConvNet = ByteConvNet(), eligible: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Learns from the eligible rows' text and language, then predicts every row's. See `predict_languages`."""
+
+def keep_readable(docs: DataFrame, least_score: float, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", how: ByteConvNet = ByteConvNet(), eligible: Column | None = None) -> DataFrame:
+    """The rows of `docs` whose language can be told with at least that score, all columns as they are, whatever their names.
+
+    The odd cases are those of `identify_languages`: what is `und` there goes.
+    """
     names, net = train(docs, how, text_col, lang_col, id_col, F.lit(True) if eligible is None else eligible)
-    return predict_languages(docs, names, net, text_col, id_col, keep)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), judged(names, net, F.col(text_col)).alias("_v"))
+    return rows.where((F.col("_v.lang_pred") != "und") & (F.col("_v.score") >= least_score)).select("_row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
