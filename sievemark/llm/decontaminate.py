@@ -18,6 +18,8 @@ from .tables import cut, documents, table
 
 # Units of measure and money that make the word after a number a slot.
 UNITS = "mm|cm|m|km|in|inch|inches|ft|foot|feet|yd|yard|yards|mi|mile|miles|mg|g|kg|oz|lb|lbs|ton|tons|pound|pounds|ml|l|liter|liters|litre|litres|gallon|gallons|s|sec|second|seconds|min|minute|minutes|h|hr|hour|hours|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollar|dollars|euro|euros|cent|cents|percent|degree|degrees|watt|watts|volt|volts"
+# Numbers in words.
+NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion"
 #: Scripts that put no spaces between words: each character, with its marks, is a word. A range goes first, as scripts are looked up slowly.
 UNSPACED = r"(?=[\u0E00-\x{3FFFF}])[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
 _NUMBER, _NAME, _UNIT, _START = "\x01", "\x02", "\x03", "\x04"
@@ -38,18 +40,22 @@ class TemplateMatch:
 def words_of(text: Column) -> Column:
     """The words of a text in lower case; a slot's word begins with the mark of its type.
 
-    Slots are numbers (with their points and commas), units after a number, and capitalised words. Those at the start of
-    a sentence, or after any other mark, have a type of their own: they count both as name and as word. Every pattern
-    begins with what is rare, so that most characters fail at once.
+    Slots are numbers (with their points and commas, or in words), units after a number, and capitalised words. Numbers in
+    words that stand in a row are one slot, and so are capitalised words in a row. Those at the start of a sentence, or
+    after any other mark, have a type of their own: they count both as name and as word. Every pattern begins with what
+    is rare, so that most characters fail at once.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
     digits = F.coalesce(text, F.lit("")).rlike("[0-9]")
     t = F.when(t.rlike(UNSPACED), F.regexp_replace(t, f"({UNSPACED})", " $1 ")).otherwise(t)
     numbered = F.regexp_replace(t, r"(\d)(?<![\p{L}\p{N}]\d)(\d*(?:[.,]\d+)*)(?![\p{L}\p{N}])", f"{_NUMBER}$1$2")
-    numbered = F.regexp_replace(numbered, rf"({_NUMBER}\S+[ -])((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
     t = F.when(digits, numbered).otherwise(t)
+    t = F.regexp_replace(t, rf"([zotfsenhmbZOTFSENHMB])(?<![\p{{L}}\p{{N}}].)(?<=(?=(?i:{NUMBER_WORDS})(?![\p{{L}}\p{{N}}])).)", f"{_NUMBER}$1")
+    t = F.regexp_replace(t, rf"[ -]{_NUMBER}(?<={_NUMBER}(?i:{NUMBER_WORDS}).{_NUMBER})(?=[a-zA-Z])", "")
+    t = F.regexp_replace(t, rf"({_NUMBER}\S+[ -])((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{_UNIT}$2")
     t = F.regexp_replace(t, r"(\p{Lu})(?<=[\p{L}\p{N},;] .)(\p{Ll}+)(?![\p{L}\p{N}])", f"{_NAME}$1$2")
-    t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}{_NAME}{_UNIT}].)(\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{_START}$1$2")
+    t = F.regexp_replace(t, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}{_NUMBER}{_NAME}{_UNIT}].)(\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{_START}$1$2")
+    t = F.regexp_replace(t, rf" {_NAME}(?<=[{_NAME}{_START}]\p{{L}}{{1,40}} {_NAME})", "")
     t = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     # separators: ASCII but for letters, digits and marks, and points and commas inside a number
     split = F.when(digits, F.split(t, "[\\x00\\x05-\\x2B\\x2D\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[.,](?!(?<=\\d.)\\d+(?![\\p{L}\\p{N}]))"))
@@ -127,8 +133,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col
 
     n_windows and share are the most windows of the item that one alignment with the document shares, n_changed the
     slots there whose values differ: 0 is a verbatim leak, more a re-parameterised one. A slot's value in the item must
-    have one value throughout the alignment. A capitalised word at the start of a sentence matches as a word or as a name. Null and empty texts have no windows and match nothing; items with few
-    windows are also found verbatim, by all their words in a row, which for an item of one word is that word anywhere. Rows with equal ids count as one document, null as an id like others.
+    have one value throughout the alignment. A capitalised word at the start of a sentence matches as a word or as a
+    name. Null and empty texts have no windows and match nothing; items with few windows are also found verbatim, by all
+    their words in a row, which for an item of one word is that word anywhere. Rows with equal ids count as one document
+    or item, null as an id like others. Texts of any length are searched whole; of alignments with as many windows the one with
+    the fewest changed slots counts. Other columns aren't read, so their names don't matter. Without documents or items
+    the result is empty.
     """
     bench = cut(benchmark_windows(items, item_col, item_text_col, how))
     # at most the powers of two up to the window, and the readings that any of their windows needs
@@ -183,12 +193,16 @@ def _empty(docs: DataFrame, items: DataFrame, id_col: str, item_col: str) -> Dat
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", item_text_col: str = "text", how: TemplateMatch = TemplateMatch()) -> DataFrame:
-    """The rows of documents into which no benchmark item has leaked; rows are told apart by id and text."""
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at")).alias("_key"), F.col(text_col))
-    gone = cut(find_leaks(keyed, items, text_col, "_key", item_col, item_text_col, how).select(F.col("_key.id").alias("_gone"), F.col("_key.at").alias("_gone_at")).distinct())
-    kept = docs.withColumn("_at", F.xxhash64(text_col))
-    on = kept[id_col].eqNullSafe(gone["_gone"]) & (kept["_at"] == gone["_gone_at"])
-    return kept.join(F.broadcast(gone) if gone.count() <= how.broadcast_windows else gone, on, "left_anti").drop("_at")
+    """The rows of documents into which no benchmark item has leaked.
+
+    Rows are told apart by id and text, so ids may be null or repeat; rows that repeat both go or stay together. Null and
+    empty texts stay. Texts of any length are searched whole. All columns stay, whatever their names; without documents or
+    items all rows do.
+    """
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("at")).alias("key"), F.col(text_col).alias("text"))
+    gone = cut(find_leaks(keyed, items, "text", "key", item_col, item_text_col, how).select("key.id", "key.at").distinct())
+    on = docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col]) == gone["at"])
+    return docs.join(F.broadcast(gone) if gone.count() <= how.broadcast_windows else gone, on, "left_anti")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
