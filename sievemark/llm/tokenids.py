@@ -7,8 +7,10 @@ halves, and any file system will do. A document never spans frames, and blocks i
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,21 +21,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .rangecoder import pack_frames, unpack_frames
-from .tables import documents, shared_folder
+from .tables import bounded_batches, documents, keep, shared_folder
+from .textbytes import releasing
 
 FRAME_IDS, FRAMES_IN_STEP = 1 << 19, 12
 #: Words whose ids a worker remembers, about 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Parts of the table of parts that may be broadcast.
 BROADCAST_PARTS = 100_000
 _PARTING = re.compile("[\x1c-\x1f]")
 
 
+# Splits of which no piece holds white space, so that words can be encoded apart.
+SPLITS_BY_SPACE = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+# Normalisers that leave white space between words and nothing of it inside them.
+_KEEPS_SPACE = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase")
+
+
+def words_apart(tokenizer: dict) -> bool:
+    """Whether a tokenizers file surely gives a text the ids of its words, one after the other: its first split drops all white
+    space, and its normalisers neither add nor move any. Of other files whole texts are encoded."""
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    splits = parts(tokenizer.get("pre_tokenizer"), "pretokenizers")
+    first = splits[0] if splits else {"type": "none"}
+    dropped = first["type"] in ("Whitespace", "WhitespaceSplit") or (first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in SPLITS_BY_SPACE)
+    prefix = any(x.get("add_prefix_space") for x in splits)
+    squeezes = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(x["type"] in _KEEPS_SPACE or x == squeezes for x in parts(tokenizer.get("normalizer"), "normalizers"))
+    spaced = any(re.search(r"\s", t["content"]) for t in tokenizer.get("added_tokens", []))
+    return dropped and plain and not prefix and not spaced
+
+
 class WordIds:
-    """Ids of texts by a tokenizers file whose words never reach across white space.
+    """Ids of texts by a tokenizers file.
 
-    Each distinct word is encoded by the library once and remembered. A text with one of the four separators that
-    Python, but not the tokenizer, takes for white space is encoded in one piece.
+    If its words never reach across white space, each distinct word is encoded by the library once and remembered; a text
+    with one of the four separators that Python, but not the tokenizer, takes for white space is encoded in one piece, and
+    so is every text if words may join.
     """
 
     _of: dict[int, WordIds] = {}
@@ -42,7 +66,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.apart = Tokenizer.from_str(tokenizer_json), words_apart(json.loads(tokenizer_json))
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -58,7 +82,7 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        words = [None if _PARTING.search(t) else t.split() for t in texts]
+        words = [None if not self.apart or _PARTING.search(t) else t.split() for t in texts]
         new = list(set().union(*(w for w in words if w)).difference(self.known))
         self.known.update(zip(new, self._encoded(new), strict=True))
         whole = iter(self._encoded([t for t, w in zip(texts, words, strict=True) if w is None]))
@@ -73,33 +97,33 @@ def _encode(tokenizer_json: str, end: int | None, id_type: pa.DataType):
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("ids_of", pa.list_(id_type)), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
     tail = np.array([] if end is None else [end], np.uint32)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordIds.cached(tokenizer_json), TaskContext.get().partitionId()
         seq = before = size = 0
         frames: list[tuple[list, list]] = [([], [])]
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal seq, before
-            full = [f for f in frames if f[0]]
-            for f, payload in zip(full, pack_frames([np.concatenate(f[1]).astype(np.int64) for f in full]), strict=True):
+        def flush(n: int) -> Iterator[pa.RecordBatch]:
+            nonlocal seq, before, frames
+            full, frames = [f for f in frames[:n] if f[0]], frames[n:]
+            for f, payload in zip(full, pack_frames([np.concatenate(f[1]) for f in full]), strict=True):
                 lengths = [len(x) for x in f[1]]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, seq, before, sum(lengths), f[0], lengths, payload), schema.types, strict=True)], schema=schema)
                 seq, before = seq + 1, before + sum(lengths)
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(keys), 64):
-                for key, ids in zip(keys[k : k + 64], words.encode([t or "" for t in texts.slice(k, 64).to_pylist()]), strict=True):
+            for k in range(0, len(keys), 16):
+                for key, ids in zip(keys[k : k + 16], words.encode([t or "" for t in texts.slice(k, 16).to_pylist()]), strict=True):
                     if size >= FRAME_IDS:
-                        if len(frames) == FRAMES_IN_STEP:
-                            yield from flush()
-                            frames = []
+                        if len(frames) == 2 * FRAMES_IN_STEP:
+                            yield from flush(FRAMES_IN_STEP)
                         frames.append(([], []))
                         size = 0
                     frames[-1][0].append(key)
                     frames[-1][1].append(np.concatenate([ids, tail]))
                     size += len(ids) + len(tail)
-        yield from flush()
+        yield from flush(len(frames))
 
     return run
 
@@ -108,8 +132,11 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, end: int |
     """Writes the ids of every whole text, each followed by `end`, as frames under `path`.
 
     Documents stand in ascending id order, null first; rows of equal id by a hash of the text. Null and empty texts have
-    no ids but the end. The tokenizer file is read by the driver only.
+    no ids but the end; rows that repeat both id and text all stand there. Texts of any length are encoded whole. Other
+    columns aren't read, so their names don't matter. An empty table gives an empty folder of files. The tokenizer file
+    is read by the driver only.
     """
+    bounded_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer_json = f.read()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
@@ -123,25 +150,31 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_file: str, end: int |
 def read_token_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of each document under `path`, decoded from its files.
 
-    start counts the ids of all documents before it. A damaged block is an error.
+    start counts the ids of all documents before it. A damaged block is an error, and so is a folder without files.
     """
     frames = spark.read.parquet(path)
     id_type = frames.schema["ids_of"].dataType.elementType.simpleString()
 
+    def decoded(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for (part, before, ids_of, lengths, _), ids in zip(rows, unpack_frames([r[4] for r in rows]), strict=True):
+            ends = np.cumsum(lengths)
+            own = np.split(ids.astype("<u4"), ends[:-1])
+            columns = [pa.array([part] * len(own), pa.int32()), pa.array(before + ends - lengths), ids_of, pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
+            if with_ids:
+                columns.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "doc_id", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, FRAMES_IN_STEP):
-                b = batch.slice(k, FRAMES_IN_STEP)
-                for row, ids in enumerate(unpack_frames(b.column(4).to_pylist())):
-                    lengths = np.array(b.column(3)[row].as_py(), np.int64)
-                    ends = np.cumsum(lengths)
-                    flat = ids.astype("<u4")
-                    own = [flat[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                    n = len(own)
-                    columns = [pa.array([b.column(0)[row].as_py()] * n, pa.int32()), pa.array(b.column(1)[row].as_py() + ends - lengths), b.column(2)[row].values, pa.array(lengths), pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64())]
-                    if with_ids:
-                        columns.append(pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64())))
-                    yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "doc_id", "n_tokens", "ids_crc32", "ids"][: len(columns)])
+        # batches are short in frames, but steps are the cheaper the more frames go in step
+        rows: list[tuple] = []
+        for b in batches:
+            rows += [(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values, np.array(b.column(3)[k].as_py(), np.int64), b.column(4)[k].as_py()) for k in range(b.num_rows)]
+            while len(rows) >= 2 * FRAMES_IN_STEP:
+                yield from decoded(rows[:FRAMES_IN_STEP])
+                rows = rows[FRAMES_IN_STEP:]
+        if rows:
+            yield from decoded(rows)
 
     out = frames.select("part", "before", "ids_of", "lengths", "payload").mapInArrow(run, f"part int, before long, doc_id {id_type}, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     # ids before each part: one row per part, from the frames' numbers alone
@@ -157,11 +190,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def write_and_read(docs: DataFrame, tokenizer_file: str, end: int | None = 2) -> DataFrame:
-    """Writes ids into the shared folder and reads them back."""
-    import uuid
-
+    """Writes ids into the shared folder and reads them back; the files go when the driver's process ends."""
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
+    keep(spark, path)
     write_token_ids(docs, path, tokenizer_file, end)
     return read_token_ids(spark, path)
 
