@@ -56,8 +56,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, key = docs.select(*COLUMNS), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("at"))
     taken = mixing.fair_mix(docs.select(key.alias("key"), "text", "source"), id_col="key").where("taken > 0")
     taken = tables.cut(taken.groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.at").alias("_at")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times")))
-    few = taken.count() <= neardup.BROADCAST_ROWS
-    out = docs.join(F.broadcast(taken) if few else taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_at")))
+    # nearly every document is taken, so both sides grow alike: one shuffle of the texts, at every size
+    out = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_at")))
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 
