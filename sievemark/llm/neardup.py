@@ -4,8 +4,9 @@ Texts become sets of five-word shingles, and sets become 64 min-wise samples ("t
 of buckets: in each bucket a shared hash function chooses tokens, about 1.5 / 0.8 of every set's 64, and a set goes on
 to the child bucket of each token chosen. Two sets that share a share s of their tokens share 1.5 s / 0.8 children, so
 similar sets keep meeting while dissimilar ones part. Small buckets are compared by brute force; large ones are split
-again, and what is still large at the last level, dense groups of near copies, is compared in tiles. Runs are repeated
-until a pair at the threshold is missed with at most the stated chance.
+again, and what is still large at the last level, dense groups of near copies, is compared by matrices of equal tokens and
+bits of shared shingles, in tiles beyond a bound. Runs are repeated until a pair at the threshold is missed with at most
+the stated chance.
 
 Identical sets are one node, so copies cost nothing. A pair that meets in several buckets is compared in the smallest
 of them only, so links can be counted and summed without ever writing pairs: each bucket gives one row per member.
@@ -19,16 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import cut, documents, written
-from .textbytes import LOWER, WORD, Texts, mix64, ngram_hashes, repeated, slices, span_hashes, spans
+from .tables import Scratch, bounded_batches, cut, documents
+from .textbytes import LOWER, WORD, Texts, mix64, ngram_hashes, releasing, repeated, slices, span_hashes, spans
 
 SHINGLE, TOKENS = 5, 64
 #: Rows of a lookup side that may be broadcast (some 24 bytes each); beyond it the join is a shuffle.
 BROADCAST_ROWS = 200_000
+#: Groups of more rows are compared by matrices, and with bits for shingles if these take no more bytes than this.
+LARGE, BITS_BYTES = 32, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,8 @@ class ChosenPath:
 
     chosen: mean number of tokens that a pair at the threshold goes on by; leaf: largest bucket compared as one;
     dense: a child with such a share of its parent holds sets that are alike, and splitting it again would only repeat
-    it; depth: levels of a run; tile: rows of one side of a tile of a large bucket.
+    it; depth: levels of a run; tile, tile_bytes: most rows, and most bytes of shingles, of one side of a tile of a
+    large bucket. Beyond them a bucket is compared in several tiles, so no task holds more.
     """
 
     threshold: float = 0.8
@@ -46,7 +50,8 @@ class ChosenPath:
     leaf: int = 32
     dense: float = 0.5
     depth: int = 4
-    tile: int = 512
+    tile: int = 4096
+    tile_bytes: int = 8 << 20
 
     @property
     def runs(self) -> int:
@@ -129,8 +134,9 @@ def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
     return data[first : first + len(column) * size].view(dtype).reshape(len(column), width)
 
 
+@releasing
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, locator, text) to (id, locator, rep, tokens); the last two are null without a word."""
+    """(id, locator, text) to (id, locator, rep, number of shingles, tokens); rep and tokens are null without a word."""
     for batch in batches:
         for t in slices(batch.column(2)):
             hashes, row = shingles(t)
@@ -138,9 +144,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = np.full(t.rows, -1)
             take[full] = np.arange(len(full))
             take = pa.array(take, mask=take < 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), batch.column(1).slice(t.first, t.rows), _binary(rep).take(take), _binary(tokens).take(take)], names=["doc_id", "loc", "rep", "tokens"])
+            count = pa.array(np.bincount(row, minlength=t.rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows), batch.column(1).slice(t.first, t.rows), _binary(rep).take(take), count, _binary(tokens).take(take)], names=["doc_id", "loc", "rep", "n", "tokens"])
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, text) to (rep, shingles), sorted 64-bit hashes."""
     for batch in batches:
@@ -193,92 +201,211 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _pairs(table: pa.Table, how: ChosenPath) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that a bucket (node, tile) has to compare exactly: similar enough by their tokens, of two sides where
-    the tile has two, and with no smaller bucket in common."""
-    node, tile, side = (table.column(k).chunk(0).to_numpy() if table.num_rows else np.zeros(0, np.int64) for k in range(3))
-    # eight bits of a token are enough to see which pairs can't reach the threshold
-    tokens = np.ascontiguousarray(_matrix(table.column("tokens").chunk(0), np.uint32, TOKENS).astype(np.uint8))
-    lists = table.column("nodes").chunk(0)
-    offsets = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy()
-    width = int(np.diff(offsets).max(initial=1))
-    known = np.full((len(node), width), np.iinfo(np.int64).max)
-    known[np.arange(width)[None, :] < np.diff(offsets)[:, None]] = flat[offsets[0] : offsets[-1]]
-    edge = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (tile[1:] != tile[:-1])])
-    sizes = np.diff(np.r_[edge, len(node)])
-    square = tile <= 0
-
-    def checked(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = square[i] | (side[i] != side[j])
-        i, j = i[ok], j[ok]
-        keep = []
+def _edges(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group of equal keys begins, and its size."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    edge = np.flatnonzero(new)
+    return edge, np.diff(np.r_[edge, len(new)])
+
+
+class _Members:
+    """What a table of whole (node, tile) groups says of its rows, for finding the pairs that a bucket has to compare: similar
+    enough by their tokens, of two sides where the tile has two, and with no smaller bucket in common."""
+
+    def __init__(self, table: pa.Table, how: ChosenPath):
+        self.how = how
+        self.node, self.tile, self.side = (table.column(k).chunk(0).to_numpy() if table.num_rows else np.zeros(0, np.int64) for k in ("node", "tile", "side"))
+        # eight bits of a token are enough to see which pairs can't reach the threshold
+        self.tokens = np.ascontiguousarray(_matrix(table.column("tokens").chunk(0), np.uint32, TOKENS).astype(np.uint8))
+        lists = table.column("nodes").chunk(0)
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        size = np.diff(offsets)
+        self.known = np.full((len(self.node), int(size.max(initial=1))), np.iinfo(np.int64).max)
+        self.known[np.arange(self.known.shape[1])[None, :] < size[:, None]] = flat[offsets[0] : offsets[-1]]
+        self.edge, self.size = _edges(self.node, self.tile)
+
+    def first_met(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have no smaller bucket in common than the one they stand in."""
+        out = np.empty(len(i), bool)
         for k in range(0, len(i), 20_000):
             a, b = i[k : k + 20_000], j[k : k + 20_000]
-            near = (tokens[a] == tokens[b]).sum(1) >= how.least_equal
-            a, b = a[near], b[near]
             low = np.full(len(a), np.iinfo(np.int64).max)
-            for c in range(width):  # lists are sorted: the first common value is the smallest
-                x = known[a, c]
-                low = np.where((known[b] == x[:, None]).any(1), np.minimum(low, x), low)
-            mine = low == node[a]
-            keep.append((a[mine], b[mine]))
-        return (np.concatenate([a for a, _ in keep]), np.concatenate([b for _, b in keep])) if keep else (i, j)
-
-    small = np.repeat(sizes <= 32, sizes)
-    for gap in range(1, 32):
-        i = np.flatnonzero(small[: len(node) - gap])
-        i = i[(node[i] == node[i + gap]) & (tile[i] == tile[i + gap])]
-        if not len(i):
-            break
-        yield checked(i, i + gap)
-    for g in np.flatnonzero(sizes > 32):
-        members = np.arange(edge[g], edge[g] + sizes[g])
-        # most members of a dense bucket have met in smaller ones: one matrix product finds such pairs before they are compared
-        ids = known[members]
-        row, col = np.nonzero(ids < node[members[0]])
+            for c in range(self.known.shape[1]):  # lists are sorted: the first common value is the smallest
+                x = self.known[a, c]
+                low = np.where((self.known[b] == x[:, None]).any(1), np.minimum(low, x), low)
+            out[k : k + 20_000] = low == self.node[a]
+        return out
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs have enough equal tokens."""
+        out = np.empty(len(i), bool)
+        for k in range(0, len(i), 20_000):
+            out[k : k + 20_000] = (self.tokens[i[k : k + 20_000]] == self.tokens[j[k : k + 20_000]]).sum(1) >= self.how.least_equal
+        return out
+
+    def small_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of all groups that aren't large, many groups at once."""
+        small = np.repeat(self.size <= LARGE, self.size)
+        for gap in range(1, LARGE):
+            i = np.flatnonzero(small[: len(self.node) - gap])
+            i = i[(self.node[i] == self.node[i + gap]) & (self.tile[i] == self.tile[i + gap])]
+            if not len(i):
+                break
+            i = i[(self.tile[i] <= 0) | (self.side[i] != self.side[i + gap])]
+            i = i[self.close(i, i + gap)]
+            i = i[self.first_met(i, i + gap)]
+            yield i, i + gap
+
+    def large(self) -> np.ndarray:
+        """The numbers of the large groups."""
+        return np.flatnonzero(self.size > LARGE)
+
+    def pairs_of(self, g: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one large group, block by block. Most members of a dense bucket have met in smaller buckets: one matrix product
+        finds such pairs before they are compared."""
+        members = np.arange(self.edge[g], self.edge[g] + self.size[g])
+        node, square = self.node[members[0]], self.tile[members[0]] <= 0
+        ids = self.known[members]
+        row, col = np.nonzero(ids < node)
         _, which, often = np.unique(ids[row, col], return_inverse=True, return_counts=True)
         use = often >= max(2, len(members) // 20)
-        number = np.cumsum(use) - 1
-        shared = np.zeros((len(members), int(use.sum()) or 1), np.float32)
-        hit = use[which]
-        shared[row[hit], number[which[hit]]] = 1
+        number, hit = np.cumsum(use) - 1, use[which]
+        met = np.zeros((len(members), int(use.sum()) or 1), np.float32)
+        met[row[hit], number[which[hit]]] = 1
+        rare = np.zeros(len(members), bool)
+        rare[row[~hit & (often[which] > 1)]] = True
+        by_token = np.ascontiguousarray(self.tokens[members].T)
+        side = self.side[members]
         for k in range(0, len(members), 128):
-            block = members[k : k + 128]
-            open_ = (shared[k : k + 128] @ shared.T == 0) & (members[None, :] > block[:, None])
-            i, j = np.nonzero(open_)
-            yield checked(block[i], members[j])
+            block = np.arange(k, min(k + 128, len(members)))
+            open_ = met[block] @ met.T == 0
+            open_ &= block[:, None] < np.arange(len(members))[None, :]
+            if not square:
+                open_ &= side[block][:, None] != side[None, :]
+            n = int(open_.sum())
+            if n * 8 > open_.size:
+                # most are open: count equal tokens of all at once
+                equal = np.zeros(open_.shape, np.uint8)
+                for t in by_token:
+                    equal += (t[block][:, None] == t[None, :]).view(np.uint8)
+                i, j = np.nonzero(open_ & (equal >= self.how.least_equal))
+                i, j = members[block[i]], members[j]
+            else:
+                i, j = np.nonzero(open_)
+                i, j = members[block[i]], members[j]
+                near = self.close(i, j)
+                i, j = i[near], j[near]
+            both = np.flatnonzero(rare[i - members[0]] & rare[j - members[0]])
+            if len(both):
+                keep = np.ones(len(i), bool)
+                keep[both] = self.first_met(i[both], j[both])
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i, j
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self.small_pairs()
+        for g in self.large():
+            yield from self.pairs_of(g)
 
 
 def _meet(how: ChosenPath):
-    """(node, tile, side, rep, tokens, nodes) to the (node, tile, side, rep) that have something to compare exactly."""
+    """(node, tile, side, rep, cost, tokens, nodes) to the (node, rep, cost) that have something to compare exactly."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
             hit = np.zeros(table.num_rows, bool)
-            for i, j in _pairs(table, how):
+            for i, j in _Members(table, how).pairs():
                 hit[i] = hit[j] = True
             if hit.any():
-                yield from table.select(["node", "tile", "side", "rep"]).filter(pa.array(hit)).combine_chunks().to_batches()
+                yield from table.select(["node", "rep", "cost"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     return run
 
 
+class _Shingles:
+    """The shingle sets of a table's rows, sorted in each row."""
+
+    def __init__(self, sets: pa.Array):
+        at = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64) // 8
+        self.values = np.frombuffer(sets.buffers()[2], np.uint8)[at[0] * 8 : at[-1] * 8].view(np.uint64)
+        self.at = at - at[0]
+        self.size = np.diff(self.at)
+
+    def common_with(self, a: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles one row has in common with each of others."""
+        mine, lens = self.values[self.at[a] : self.at[a + 1]], self.size[others]
+        begin = np.cumsum(lens) - lens
+        theirs = self.values[np.repeat(self.at[others] - begin, lens) + np.arange(int(lens.sum()))]
+        return np.add.reduceat(mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs, begin)
+
+    def bits(self, first: int, n: int) -> np.ndarray | None:
+        """A row of bits for each of n rows: which of the shingles that two or more of them have it has. None if that is too large."""
+        values = self.values[self.at[first] : self.at[first + n]]
+        _, which, often = np.unique(values, return_inverse=True, return_counts=True)
+        use = often > 1
+        width = (int(use.sum()) + 63) // 64 or 1
+        if n * width * 8 > BITS_BYTES:
+            return None
+        keep = use[which]
+        column = (np.cumsum(use) - 1)[which[keep]]
+        cell = np.repeat(np.arange(n), self.size[first : first + n])[keep] * width + column // 64
+        bit = np.uint64(1) << (column % 64).astype(np.uint64)
+        out = np.zeros(n * width, np.uint64)
+        if len(cell):
+            start, _ = _edges(cell)
+            out[cell[start]] = np.bitwise_or.reduceat(bit, start)
+        return out.reshape(n, width)
+
+    def common(self, i: np.ndarray, j: np.ndarray, bits: np.ndarray | None, first: int) -> np.ndarray:
+        """How many shingles the rows of each pair have in common."""
+        out = np.empty(len(i), np.int64)
+        if bits is None:
+            order = np.argsort(i, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else ():
+                out[group] = self.common_with(int(i[group[0]]), j[group])
+            return out
+        step = max(1, (1 << 20) // bits.shape[1])
+        for k in range(0, len(i), step):
+            out[k : k + step] = np.bitwise_count(bits[i[k : k + step] - first] & bits[j[k : k + step] - first]).sum(1)
+        return out
+
+
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Gives all members that links connect the smallest label among them; i and j are linked pairs."""
+    apart = np.flatnonzero(label[i] != label[j])
+    while len(apart):
+        a = i[apart[0]]
+        own = np.unique(label[np.r_[a, j[apart[i[apart] == a]]]])
+        label[np.isin(label, own)] = own[0]
+        apart = apart[label[i[apart]] != label[j[apart]]]
+
+
 def _verify(how: ChosenPath):
     """The same rows with weight and shingles to (rep, root, links): a member of a bucket, the smallest member it is linked
     to there by any chain, and the weight of those that it is linked to itself."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 2):
-            sets = table.column("shingles").chunk(0)
-            at = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64) // 8
-            values = np.frombuffer(sets.buffers()[2], np.uint8)[at[0] * 8 : at[-1] * 8].view(np.uint64)
-            at = at - at[0]
-            size = np.diff(at)
-            weight = table.column("weight").to_numpy()
-            reps = table.column("rep").to_pylist()
+            rows, sets = _Members(table, how), _Shingles(table.column("shingles").chunk(0))
+            weight, reps = table.column("weight").to_numpy(), table.column("rep").to_pylist()
             links = np.zeros(table.num_rows, np.int64)
-            parent = list(range(table.num_rows))
+            # a member's label is its rank by rep, then the lowest rank that it is linked to
+            rank = np.argsort(sorted(range(len(reps)), key=reps.__getitem__))
+            label = rank.copy()
+
+            def linked(i: np.ndarray, j: np.ndarray, bits: np.ndarray | None = None, first: int = 0, sets=sets, links=links, weight=weight) -> tuple[np.ndarray, np.ndarray]:
+                common = sets.common(i, j, bits, first)
+                ok = common >= how.threshold * (sets.size[i] + sets.size[j] - common)
+                i, j = i[ok], j[ok]
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                return i, j
+
+            parent = list(range(len(reps)))
 
             def root(x: int, parent: list[int] = parent) -> int:
                 while parent[x] != x:
@@ -286,29 +413,25 @@ def _verify(how: ChosenPath):
                     x = parent[x]
                 return x
 
-            for i, j in _pairs(table, how):
-                order = np.argsort(i, kind="stable")
-                i, j = i[order], j[order]
-                for first in np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else ():
-                    a = int(i[first])
-                    others = j[first : first + int(np.searchsorted(i[first:], a, side="right"))]
-                    mine = values[at[a] : at[a + 1]]
-                    lens = size[others]
-                    begin = np.cumsum(lens) - lens
-                    theirs = values[np.repeat(at[others] - begin, lens) + np.arange(int(lens.sum()))]
-                    place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                    common = np.add.reduceat(mine[place] == theirs, begin)
-                    linked = others[common >= how.threshold * (len(mine) + lens - common)]
-                    links[a] += weight[linked].sum()
-                    links[linked] += weight[a]
-                    for b in linked.tolist():
-                        x, y = root(a), root(b)
-                        if x != y:
-                            x, y = (x, y) if reps[x] <= reps[y] else (y, x)
-                            parent[y] = x
+            for i, j in rows.small_pairs():
+                for a, b in zip(*(x.tolist() for x in linked(i, j)), strict=True):
+                    x, y = root(a), root(b)
+                    if x != y:
+                        x, y = (x, y) if rank[x] < rank[y] else (y, x)
+                        parent[y] = x
+            for k, p in enumerate(parent):
+                if p != k:
+                    label[k] = rank[root(k)]
+            for g in rows.large():
+                first, n = int(rows.edge[g]), int(rows.size[g])
+                bits, own = sets.bits(first, n), label[first : first + n]
+                for i, j in rows.pairs_of(g):
+                    i, j = linked(i, j, bits, first)
+                    _merge(own, i - first, j - first)
             some = np.flatnonzero(links)
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array([reps[k] for k in some], pa.binary()), pa.array([reps[root(k)] for k in some], pa.binary()), pa.array(links[some])], names=["rep", "root", "links"])
+                by_rank = np.argsort(rank)
+                yield pa.RecordBatch.from_arrays([pa.array([reps[k] for k in some], pa.binary()), pa.array([reps[by_rank[label[k]]] for k in some], pa.binary()), pa.array(links[some])], names=["rep", "root", "links"])
 
     return run
 
@@ -317,25 +440,38 @@ def _lookup(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _tiled(rows: DataFrame, k: Column) -> DataFrame:
+    """Rows of a bucket dealt to tiles: k sides by a hash, and one tile for each side and each pair of sides. tile 0 is a bucket
+    compared as one; of a larger one, negative tiles have one side each, positive ones two."""
+    rows = rows.withColumn("_k", k).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    low, high = F.least("side", "_other"), F.greatest("side", "_other")
+    tile = F.when(F.col("_k") == 1, 0).when(low == high, -1 - low).otherwise(1 + low * F.col("_k") + high).cast("int")
+    return rows.withColumn("tile", tile).drop("_k", "_other")
+
+
 def jaccard_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: ChosenPath = ChosenPath()) -> DataFrame:
     """doc_id, class_id, n_links, loc: one row per input row.
 
     class_id is the smallest id among all that chains of links lead to; n_links counts the other rows whose shingle
     sets have at least the threshold's similarity, copies included. Null and empty texts and those without a word are
     linked to nothing and are their own class. Ids may repeat or be null; `loc` hashes the text and tells such rows
-    apart. An empty table gives an empty result.
+    apart, and rows that repeat both are copies of each other. Texts of any length are compared whole. Other columns
+    aren't read, so their names don't matter. An empty table gives an empty result.
     """
-    return _judged(docs, text_col, id_col, how).drop("keep_loc")
+    return _judged(docs, text_col, id_col, how, Scratch(docs.sparkSession)).drop("keep_loc")
 
 
-def _judged(docs: DataFrame, text_col: str, id_col: str, how: ChosenPath) -> DataFrame:
+def _judged(docs: DataFrame, text_col: str, id_col: str, how: ChosenPath, scratch: Scratch) -> DataFrame:
     """The columns of jaccard_join and keep_loc: with class_id, the id and text of the one row that stands for the group."""
+    bounded_batches(docs.sparkSession)
+    written = scratch.written
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("loc"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, loc long, rep binary, tokens binary"), "signed")
-    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc", "tokens")  # null ids last
+    signed = written(source.mapInArrow(_sign, f"doc_id {id_type}, loc long, rep binary, n int, tokens binary"), "signed")
+    one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "loc", "n", "tokens")  # null ids last
     reps = signed.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("weight"), F.min(one).alias("_one"))
-    reps = written(reps.select("rep", "weight", "_one.doc_id", "_one.loc", "_one.tokens"), "reps")
+    cost = F.greatest(F.col("_one.n") * 8, F.lit(how.tile_bytes // how.tile)).cast("long")
+    reps = written(reps.select("rep", "weight", "_one.doc_id", "_one.loc", cost.alias("cost"), "_one.tokens"), "reps")
 
     # the tree of buckets, all runs at once: levels go on while any bucket is large and not dense
     rows, leaves = "node long, rep binary, size long", None
@@ -351,26 +487,27 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, how: ChosenPath) -> Dat
             break
         path = large.select("node", "rep", F.col("n").alias("size")).join(reps.select("rep", "tokens"), "rep").select("rep", "tokens", "size", "node").mapInArrow(_step(how, False), rows)
 
-    # every set with all its buckets, dealt to each of them; a bucket of several tiles gets one row per tile
-    known = leaves.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("_b")).join(reps.select("rep", "tokens"), "rep")
-    at = known.select("rep", "tokens", F.transform("_b", lambda b: b["node"]).alias("nodes"), F.explode("_b").alias("b"))
-    at = at.select("rep", "tokens", "nodes", "b.node", F.greatest(F.lit(1), F.when(F.col("b.n") > how.leaf, F.ceil(F.col("b.n") / how.tile)).otherwise(1)).cast("int").alias("k"))
-    at = at.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    # tile 0 is a bucket compared as one; of a larger one, negative tiles have one side each, positive ones two
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    tile = F.when(F.col("k") == 1, 0).when(low == high, -1 - low).otherwise(1 + low * F.col("k") + high).cast("int")
-    at = at.select("node", tile.alias("tile"), "side", "rep", "tokens", "nodes")
-    sorted_at = at.repartition("node", "tile").sortWithinPartitions("node", "tile")
-    hits = written(sorted_at.mapInArrow(_meet(how), "node long, tile int, side int, rep binary"), "hits")
-
-    # exact check: only the texts of sets that met a similar one are read again
-    wanted = cut(hits.select("rep").distinct().join(reps, "rep").select("rep", "doc_id", "loc"))
+    # every set with all its buckets, dealt to each of them
+    known = leaves.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("node", "n"))).alias("_b")).join(reps, "rep")
+    known = written(known.withColumn("nodes", F.transform("_b", lambda b: b["node"])), "known")
+    scratch.drop("level")
+    at = known.select("rep", "cost", "tokens", "nodes", F.explode("_b").alias("b")).select("rep", "cost", "tokens", "nodes", "b.node", "b.n")
+    at = _tiled(at, F.greatest(F.lit(1), F.ceil(F.col("n") / how.tile)).cast("int")).select("node", "tile", "side", "rep", "cost", "tokens", "nodes")
+    hits = at.repartition("node", "tile").sortWithinPartitions("node", "tile").mapInArrow(_meet(how), "node long, rep binary, cost long")
+    hits = written(hits, "hits").distinct()
+
+    # exact check: only the texts of sets that met a similar one are read again, and dealt anew by the bytes of their sets
+    wanted = cut(known.join(hits.select("rep").distinct(), "rep", "left_semi").select("rep", "doc_id", "loc"))
     on = source["doc_id"].eqNullSafe(wanted["doc_id"]) & (source["loc"] == wanted["loc"])
     texts = source.join(_lookup(wanted, wanted.count()), on).select(wanted["rep"], source["text"])
-    sets = written(texts.mapInArrow(_sets, "rep binary, shingles binary").dropDuplicates(["rep"]), "sets")
-    full = hits.join(known.select("rep", "tokens", F.transform("_b", lambda b: b["node"]).alias("nodes")), "rep").join(reps.select("rep", "weight"), "rep").join(sets, "rep")
-    full = full.select("node", "tile", "side", "rep", "tokens", "nodes", "weight", "shingles").repartition("node", "tile").sortWithinPartitions("node", "tile")
-    linked = written(full.mapInArrow(_verify(how), "rep binary, root binary, links long"), "linked")
+    sets = texts.mapInArrow(_sets, "rep binary, shingles binary").dropDuplicates(["rep"])
+    members = written(known.select("rep", "weight", "tokens", "nodes").join(sets, "rep"), "members")
+    heavy = cut(hits.groupBy("node").agg(F.sum("cost").alias("bytes")).where(F.col("bytes") > how.tile_bytes))
+    dealt = hits.select("node", "rep").join(_lookup(heavy, heavy.count()), "node", "left")
+    dealt = _tiled(dealt, F.greatest(F.lit(1), F.ceil(F.coalesce("bytes", F.lit(0)) / how.tile_bytes)).cast("int"))
+    full = dealt.join(members, "rep").select("node", "tile", "side", "rep", "tokens", "nodes", "weight", "shingles")
+    linked = written(full.repartition("node", "tile").sortWithinPartitions("node", "tile").mapInArrow(_verify(how), "rep binary, root binary, links long"), "linked")
+    scratch.drop("known", "hits", "members")
 
     found = components(linked, "rep", "root")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -386,24 +523,31 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, how: ChosenPath) -> Dat
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", how: ChosenPath = ChosenPath()) -> DataFrame:
     """The rows of `docs` without all but one of each group of linked documents: the one with the smallest id stays.
 
-    Of rows with the same id and text one stays, too. Texts without a word are kept as they are. Ids may repeat or be
-    null (as an id, null is the largest): rows are told apart by id and text.
+    Of rows with the same id and text one stays, too. Null and empty texts and those without a word are kept as they are.
+    Ids may repeat or be null (as an id, null is the largest): rows are told apart by id and text. Very long texts are
+    compared whole. All columns stay, whatever their names. An empty table gives an empty result.
     """
-    judged = written(_judged(docs, text_col, id_col, how), "judged")
+    scratch = Scratch(docs.sparkSession)
+    judged = scratch.written(_judged(docs, text_col, id_col, how, scratch), "judged")
+    scratch.drop("signed", "reps", "linked")
     linked = judged.where("n_links > 0").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("loc") == F.col("keep_loc")))
     pair = [F.col("doc_id").alias("_id"), F.col("loc").alias("_loc")]
     gone = cut(linked.where("NOT stays").select(*pair).distinct())
-    kept = docs.withColumn("_at", F.xxhash64(text_col))
-    on = lambda of: kept[id_col].eqNullSafe(of["_id"]) & (kept["_at"] == of["_loc"])
-    kept = kept.join(_lookup(gone, gone.count()), on(gone), "left_anti")
     # rows that repeat both id and text
     again = cut(linked.where("stays").groupBy("doc_id", "loc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*pair))
+    scratch.drop("judged")
+    names, key = docs.columns, F.xxhash64(docs[text_col])
+    on = lambda of: docs[id_col].eqNullSafe(of["_id"]) & (key == of["_loc"])
+    kept = docs.join(_lookup(gone, gone.count()), on(gone), "left_anti")
     n = again.count()
     if not n:
-        return kept.drop("_at")
+        return kept
     single = kept.join(_lookup(again, n), on(again), "left_anti")
-    repeats = kept.join(_lookup(again, n), on(again), "left_semi").dropDuplicates([id_col, "_at"])
-    return single.unionByName(repeats).drop("_at")
+    whole = F.struct(*(docs[c] for c in names))
+    # of the rows that repeat id and text, the first by its other columns
+    repeats = kept.join(_lookup(again, n), on(again), "left_semi").select(F.struct(docs[id_col].alias("id"), key.alias("at")).alias("_key"), whole.alias("_row"))
+    repeats = repeats.groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select(*(F.col("_row")[c].alias(c) for c in names))
+    return single.unionByName(repeats)
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
