@@ -195,9 +195,9 @@ def test_verbatim_leaks_by_brute_force(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 65535) | st.integers(0, 3), max_size=700), max_size=6))
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 65535) | st.integers(0, 3), max_size=700), max_size=6))
 def test_coder_round_trip(blocks):
-    blocks = [np.array(b, np.int64) for b in blocks]
+    blocks = [np.array(b, np.uint32) for b in blocks]
     back = rangecoder.decode_blocks(rangecoder.encode_blocks(blocks), [len(b) for b in blocks])
     assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
 
@@ -213,7 +213,26 @@ def test_frames_and_damage():
         with pytest.raises(ValueError):
             rangecoder.unpack_frames([damaged])
     with pytest.raises(ValueError):
-        rangecoder.pack_frames([np.array([70_000])])
+        rangecoder.pack_frames([np.array([2**32])])
+    with pytest.raises(ValueError):
+        rangecoder.pack_frames([ids], rangecoder.MOST_BLOCK_IDS + 1)
+
+
+def test_long_blocks_of_many_kinds():
+    rng = np.random.default_rng(5)
+    n = rangecoder.MOST_BLOCK_IDS
+    blocks = [rng.integers(0, 2**32, n, np.uint32), np.repeat(rng.integers(0, 50_000, 64, np.uint32), n // 64), rng.zipf(1.3, n).clip(0, 49_000).astype(np.uint32)]
+    back = rangecoder.decode_blocks(rangecoder.encode_blocks(blocks), [n] * 3)
+    assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
+
+
+@needs_data
+def test_less_than_a_byte_an_id(words):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(D.replace("0.001", "0.01") + "/documents.parquet", columns=["text"])["text"].to_pylist()
+    ids = np.concatenate([np.append(x, 2) for k in range(0, len(texts), 16) for x in words.encode([t or "" for t in texts[k : k + 16]])])
+    assert len(rangecoder.pack_frames([ids])[0]) < len(ids)
 
 
 def whole_ids(texts):
@@ -235,6 +254,18 @@ def test_words_give_the_ids_of_whole_texts(words, text):
     assert words.encode([text])[0].tolist() == whole_ids([text])[0].tolist()[:-1]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_the_ids_of_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = tokenids.tokenizer_path(name)
+    with open(path, encoding="utf-8") as f:
+        words = tokenids.WordIds(f.read())
+    texts = ["Hello world, hello  world", " lead and\ttab", "", "caf\u00e9 \u2003 42!", "Hello world, hello  world"]
+    assert words.apart == (name == "word_bpe_49k.json")
+    assert [x.tolist() for x in words.encode(texts)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_read_back(spark, odd):
     rows = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = tokenids.write_and_read(odd, tokenids.tokenizer_path()).collect()
