@@ -226,6 +226,43 @@ def test_long_blocks_of_many_kinds():
     assert all((a == b).all() for a, b in zip(blocks, back, strict=True))
 
 
+def test_executors_coder_makes_the_same_frames(spark):
+    from pyspark.sql import functions as F
+
+    from sievemark.llm import jvmcoder
+
+    rng, n = np.random.default_rng(8), rangecoder.MOST_BLOCK_IDS
+    frames = [[], [0], [2**32 - 1], np.arange(n + 1), rng.integers(0, 2**32, 2 * n), rng.zipf(1.2, 3 * n).clip(0, 49_000), np.repeat(rng.integers(0, 50_000, 64), n // 64), np.tile(rng.integers(0, 9, 50), 700)]
+    frames = [np.array(f, np.uint32) for f in frames]
+    schema = "k int, b binary, lengths array<int>"
+    halves = [[len(f) // 2, len(f) - len(f) // 2] for f in frames]
+    df = spark.createDataFrame([(k, bytearray(f.astype("<u4").tobytes()), h) for k, (f, h) in enumerate(zip(frames, halves, strict=True))], schema)
+    payloads = [bytes(r.b) for r in df.select("k", jvmcoder.pack(spark, F.col("b")).alias("b")).orderBy("k").collect()]
+    assert payloads == rangecoder.pack_frames(frames)
+    read = lambda rows: spark.createDataFrame(rows, schema).select("k", F.inline(jvmcoder.unpack(spark, F.col("b"), F.col("lengths")))).orderBy("k", "at").collect()
+    back = read([(k, bytearray(p), h) for k, (p, h) in enumerate(zip(payloads, halves, strict=True))])
+    assert [b"".join(bytes(r.ids) for r in back if r.k == k) for k in range(len(frames))] == [f.astype("<u4").tobytes() for f in frames]
+    p = payloads[5]
+    for damaged in (p[:-1], b"x" + p[1:], p[:-3] + bytes([p[-3] ^ 1]) + p[-2:], p[:9]):
+        with pytest.raises(Exception, match="token ids"):
+            read([(0, bytearray(damaged), halves[5])])
+
+
+@pytest.mark.parametrize("text", ["The the THE, the. é. e\u0301. É; Straße! don't. 's. a<|endoftext|>. x.\u0301 ... İ. ΑΣ. \u212a. 1. a1, ÿ× ?!", "a\x1cb,", ""])
+def test_words_with_marks_give_the_ids_of_whole_texts(words, text):
+    texts = [text, text.upper(), text + " " + text]
+    assert words.straight and [x.tolist() for x in words.encode(texts)] == [x.tolist()[:-1] for x in whole_ids(texts)]
+
+
+def test_every_distinct_word_is_encoded_once(words, monkeypatch):
+    asked = []
+    words.known.clear()
+    monkeypatch.setattr(words, "_of_model", lambda w, f=words._of_model: asked.append(w) or f(w))
+    words.encode(["red Red, red. RED!", "red fox"])
+    words.encode(["Fox; red"])
+    assert sorted(asked) == ["fox", "red"]
+
+
 @needs_data
 def test_less_than_a_byte_an_id(words):
     import pyarrow.parquet as pq
