@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.segment import criteria_rows, segment_column
 from ..functions.text import age_raw, age_years, flat, normalize_block
@@ -112,14 +113,17 @@ class StaleCache(Exception):
 CACHE_PARTS = "year int, model string, mode string, prompt_hash string"
 
 
-def read_cache(spark: SparkSession, path: str, schema: str, prompt_hash: str, strict: bool = False, **parts) -> DataFrame:
-    """Cached records of a prompt hash (and of a year, model and mode if given). A path that doesn't exist is an empty cache, any
-    other trouble with it an error; with `strict` a cache that has only other hashes is one, too, and so is no cache."""
+def read_cache(spark: SparkSession, path: str, schema: str | StructType, prompt_hash: str, strict: bool = False, **parts) -> DataFrame:
+    """Cached records of a prompt hash (and of a year, model and mode if given), by a schema with or without `CACHE_PARTS`. A path that
+    doesn't exist is an empty cache, any other trouble with it an error; with `strict` a cache that has only other hashes is one,
+    too, and so is no cache."""
+    given = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType(given.fields + [f for f in StructType.fromDDL(CACHE_PARTS) if f.name not in given.names])
     if not exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
-        return spark.createDataFrame([], f"{schema}, {CACHE_PARTS}")
-    df = spark.read.schema(f"{schema}, {CACHE_PARTS}").parquet(path)
+        return spark.createDataFrame([], whole)
+    df = spark.read.schema(whole).parquet(path)
     own = df.where(F.col("prompt_hash") == prompt_hash)
     if strict and own.isEmpty() and not df.isEmpty():
         raise StaleCache(f"{path} has no records of prompt {prompt_hash}")

@@ -61,6 +61,15 @@ def test_runs_qrels_jsonl_cache(spark, tmp_path):
         readers.read_cache(spark, str(tmp_path / "cache"), rec.schema, "other", strict=True)
 
 
+def test_cache_schemas_may_be_objects_and_have_the_parts(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "r", 1, "m", "x", "h")], f"topic_id string, reply string, {readers.CACHE_PARTS}")
+    sinks.append_cache(rows, str(tmp_path / "c"))
+    for schema in ("topic_id string, reply string", rows.schema, rows.select("topic_id", "reply").schema):
+        for path, n in ((tmp_path / "c", 1), (tmp_path / "none", 0)):
+            got = readers.read_cache(spark, str(path), schema, "h", year=1)
+            assert sorted(got.columns) == sorted(rows.columns) and got.count() == n
+
+
 def test_dense_search_is_exact(spark):
     import numpy as np
 
