@@ -88,8 +88,9 @@ def matched(index: Index, queries: DataFrame, key: str, text_col: str, mode: str
     # one pass over the queries: how many rows they have, and which of at most MOST_BUCKETS buckets they need
     by_bucket = q.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     n, wanted = sum(r.n for r in by_bucket), F.col("bucket").isin(*(r.bucket for r in by_bucket))
-    known = q.join(index.terms.where(wanted).select("bucket", "term", "df"), ["bucket", "term"])
-    return index.postings.where(wanted).join(small(known, n), ["bucket", "term"])
+    # joined by term alone, which has one bucket: joins by bucket would plan the queries again to prune buckets that are known here
+    known = q.drop("bucket").join(index.terms.where(wanted).select("term", "df"), "term")
+    return index.postings.where(wanted).drop("bucket").join(small(known, n), "term")
 
 
 def weight(index: Index, k1: Column, b: Column) -> Column:

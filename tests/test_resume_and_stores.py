@@ -25,6 +25,16 @@ def test_index_is_stored_and_reads_no_text(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan and "text" not in plan.split("Scan parquet")[-1]
 
 
+def test_search_prunes_buckets_without_planning_its_queries_again(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"red fox w{k}") for k in range(40)], "doc_id long, text string")
+    lexical.store_index(docs, str(tmp_path / "i"))
+    index = lexical.open_index(spark, str(tmp_path / "i"))
+    q = spark.createDataFrame([(7, "fox w3 w3"), (8, "w9 red")], "item_id long, text string")
+    run = lexical.search(index, q, depth=50)
+    assert "dynamicpruning" not in run._jdf.queryExecution().executedPlan().toString()
+    assert run.count() == 80 and [(r.item_id, r.doc_id) for r in run.where("rank = 1").orderBy("item_id").collect()] == [(7, 3), (8, 9)]
+
+
 def test_best_setting_is_the_first_of_equals(spark):
     v = spark.createDataFrame([(0.9, 0.4, 0.5), (1.2, 0.4, 0.7), (1.5, 0.4, 0.7)], "k1 double, b double, mean double")
     assert lexical.best_setting(v, ["k1", "b"]).first().k1 == 1.2
