@@ -8,9 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: long texts then don't add up to more than a worker can hold.
+ARROW_BYTES = 4 << 20
 _LEFT: dict[str, SparkSession] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, once; a bound of the user's own stays. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that all executors share: the checkpoint folder if the cluster names one, else the warehouse. Only a local
     master, whose executors are this machine, gets one under /tmp."""
@@ -30,6 +39,13 @@ def new_path(spark: SparkSession, name: str, temporary: bool = True) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table that is written now: what many parts of a plan read is computed once."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of a path, and the path as its kind of object."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
