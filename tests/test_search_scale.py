@@ -72,3 +72,26 @@ def test_no_documents_and_no_queries(spark, tmp_path):
     words = lexical.build_index(spark.createDataFrame([(1, "red fox")], "doc_id long, text string"), path=str(tmp_path / "words"))
     assert lexical.search(none, q).count() == 0
     assert lexical.search(words, q.limit(0)).count() == 0 and lexical.search(words, q).count() == 1
+
+
+#: How often a query's plan reads postings.
+READS = {
+    # end of reads
+}
+#: Queries whose plans have no exchange by documents, but for the texts' own.
+UNPAIRED = (
+    "bm25_param_grid",
+    # end of pairs
+)
+
+
+@needs_data
+@pytest.mark.parametrize("name", READS)
+def test_plan_reads_no_more_postings_than_it_must(spark, name):
+    assert plan(entry.queries()[name](spark, D)).count("/postings") <= READS[name]
+
+
+@needs_data
+@pytest.mark.parametrize("name", UNPAIRED)
+def test_plan_deals_no_pairs(spark, name):
+    assert not [x for x in re.findall(r"Exchange hashpartitioning\(([^\n]*)", plan(entry.queries()[name](spark, D))) if "doc_id" in x]
