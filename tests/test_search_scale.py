@@ -78,6 +78,7 @@ def test_no_documents_and_no_queries(spark, tmp_path):
 READS = {
     "bm25_grid_selected": 1,
     "bpref": 0,
+    "complementarity": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
