@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions, evaluation, fusion, lexical, reasoning, report
 from ..operators import profiles as profile
 from ..operators.providers import Provider
+from ..sources.store import stored
 
 MAX_CHARS, TOP = 4000, 5
 
@@ -60,7 +61,8 @@ def match_full(narratives: DataFrame, index: lexical.Index, criteria: DataFrame,
     profiles = reasoning.extract(ok, extractor, f"{cache}/profiles")
     queries = profiles.select("topic_id", profile.build_query(F.col("profile"), F.col("narrative")).alias("narrative"))
     found = match_batch(queries.select("topic_id", F.substring("narrative", 1, MAX_CHARS).alias("narrative")), index, top)
-    pairs = found.select("topic_id", F.col("doc_id").cast("string").alias("nct_id"), "score", "rank")
+    # a few rows a topic, which every later stage reads: stored, so that the search runs once
+    pairs = stored(found.select("topic_id", F.col("doc_id").cast("string").alias("nct_id"), "score", "rank"), "pairs")
     decided = reasoning.reason(pairs, criteria, ok, reasoner, f"{cache}/decisions")
     kept = reasoning.accepted(decided)
     scores = decisions.trial_scores(pairs.select("topic_id", "nct_id"), kept)
