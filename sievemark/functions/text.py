@@ -26,7 +26,10 @@ AGE_PATTERNS = (
     r"\b(\d{1,3})\s*[MF]\b",
 )
 SEX_SHORT = r"\b\d{1,3}\s*[-]?\s*(?:y/?o|years?\s*[-]?\s*old)?\s*([MF])\b"
-SEX_WORDS = ((r"(?i)\b(?:man|male|gentleman|boy)\b", r"(?i)\b(?:woman|female|lady|girl)\b"), (r"(?i)\b(?:he|his|him)\b", r"(?i)\b(?:she|her|hers)\b"))
+# A word's edge between ASCII letters, digits and underscores and all else, whatever a version of Java takes `\b` for.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+# Without regard to case, a long s is an s.
+SEX_WORDS = tuple(tuple(f"(?i){EDGE}(?:{words.replace('s', '[sſ]')}){EDGE}" for words in pair) for pair in (("man|male|gentleman|boy", "woman|female|lady|girl"), ("he|his|him", "she|her|hers")))
 NEGATION = r"(?i)\b(?:no\s+(?:history|evidence|signs?|prior)|denies|without|negative\s+for|ruled\s+out|not\s+(?:on|taking)|free\s+of|absence\s+of)\b"
 NEGATION_LEAD = r"(?i)^\s*(?:no|not|none|without|absence of|free of)\b"
 DEMOGRAPHIC_CRITERION = r"(?i)pregnan|breast.?feed|lactating|postmenopausal|menarche|vaginal bleed|endometri|uterus|women|female|male|\bmen\b|years? of age|aged?\b"
@@ -147,6 +150,15 @@ def numbers(c: Column, strip_zeros: bool = False) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"(\.\d*?)0+$", "$1").substr(F.lit(1), F.lit(1000))))
 
 
+def said_sex(head: Column) -> Column:
+    """The sex of whichever word for one comes first, of nouns if there is one, else of pronouns; null without any."""
+    sex = F.lit(None).cast("string")
+    for male, female in reversed(SEX_WORDS):
+        m, f = F.regexp_instr(head, F.lit(male)), F.regexp_instr(head, F.lit(female))
+        sex = F.when((m > 0) & ((f == 0) | (m < f)), F.lit("male")).when(f > 0, F.lit("female")).otherwise(sex)
+    return sex
+
+
 def gold_age_sex(text: Column) -> tuple[Column, Column, Column]:
     """Age, unit and sex that the first 220 characters state; null where they don't."""
     head = F.substring(text, 1, HEAD_CHARS)
@@ -155,12 +167,8 @@ def gold_age_sex(text: Column) -> tuple[Column, Column, Column]:
         found = F.regexp_extract(head, p, 1)
         age = F.when(found != "", found.cast("int")).otherwise(age)
         unit = F.when(found != "", F.concat(F.lower(F.regexp_extract(head, p, 2)), F.lit("s")) if k < 2 else F.lit("years")).otherwise(unit)
-    sex = F.lit(None).cast("string")
-    for male, female in reversed(SEX_WORDS):
-        m, f = F.regexp_instr(head, F.lit(male)), F.regexp_instr(head, F.lit(female))
-        sex = F.when((m > 0) & ((f == 0) | (m < f)), F.lit("male")).when(f > 0, F.lit("female")).otherwise(sex)
     short = F.regexp_extract(head, SEX_SHORT, 1)
-    return age, unit, F.when(short == "M", F.lit("male")).when(short == "F", F.lit("female")).otherwise(sex)
+    return age, unit, F.when(short == "M", F.lit("male")).when(short == "F", F.lit("female")).otherwise(said_sex(head))
 
 
 def short_hash(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Searches whose cost grows with the corpus and not with pairs of queries and documents, against sums by hand."""
+"""Searches whose cost grows with the corpus and not with pairs of queries and documents, against sums by hand; and words at odd edges."""
 
 import math
 import os
@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -102,3 +103,10 @@ def test_plan_reads_no_more_postings_than_it_must(spark, name):
 @pytest.mark.parametrize("name", UNPAIRED)
 def test_plan_deals_no_pairs(spark, name):
     assert not [x for x in re.findall(r"Exchange hashpartitioning\(([^\n]*)", plan(entry.queries()[name](spark, D))) if "doc_id" in x]
+
+def test_sex_by_words_at_odd_edges_equals_sql(spark, tmp_path):
+    said = ["öhe was", "Ungaühe him", "x he", "he_ she", "hiſ leg", "ſhe he", "aſhe he", "a 45 M with pain", "30 yo F, a boy", "KHe", "lady2 man", "é-man", "WOMAN man", "", None, "x" * 218 + " he"]
+    rows = spark.createDataFrame([(k, 0, "user", t) for k, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = duckdb.connect().execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'").execute(entry.oracle_sql()["age_sex_gold"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["age_sex_gold"](spark, str(tmp_path)).collect())) == sorted(want)
