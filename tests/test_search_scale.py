@@ -84,6 +84,7 @@ READS = {
     "match_full_cards": 0,
     "match_full_events": 0,
     "ndcg_eligible": 0,
+    "contamination_at_10": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
