@@ -85,6 +85,7 @@ READS = {
     "match_full_events": 0,
     "ndcg_eligible": 0,
     "contamination_at_10": 0,
+    "missing_topics": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
