@@ -86,6 +86,7 @@ READS = {
     "ndcg_eligible": 0,
     "contamination_at_10": 0,
     "missing_topics": 0,
+    "paired_bootstrap_hash": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
