@@ -87,6 +87,7 @@ READS = {
     "contamination_at_10": 0,
     "missing_topics": 0,
     "paired_bootstrap_hash": 0,
+    "results_upsert": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
