@@ -88,6 +88,7 @@ READS = {
     "missing_topics": 0,
     "paired_bootstrap_hash": 0,
     "results_upsert": 0,
+    "metric_report": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
