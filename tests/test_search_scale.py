@@ -89,6 +89,7 @@ READS = {
     "paired_bootstrap_hash": 0,
     "results_upsert": 0,
     "metric_report": 0,
+    "paired_bootstrap": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
