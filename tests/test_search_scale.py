@@ -90,6 +90,7 @@ READS = {
     "results_upsert": 0,
     "metric_report": 0,
     "paired_bootstrap": 0,
+    "wsum_zscore": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
