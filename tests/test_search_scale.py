@@ -91,6 +91,7 @@ READS = {
     "metric_report": 0,
     "paired_bootstrap": 0,
     "wsum_zscore": 0,
+    "run_file_lines": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
