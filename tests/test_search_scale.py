@@ -92,6 +92,7 @@ READS = {
     "paired_bootstrap": 0,
     "wsum_zscore": 0,
     "run_file_lines": 0,
+    "ndcg_official": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
