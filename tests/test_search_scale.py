@@ -93,6 +93,7 @@ READS = {
     "wsum_zscore": 0,
     "run_file_lines": 0,
     "ndcg_official": 0,
+    "union_recall": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
