@@ -94,6 +94,7 @@ READS = {
     "run_file_lines": 0,
     "ndcg_official": 0,
     "union_recall": 0,
+    "recall_micro": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
