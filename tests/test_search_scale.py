@@ -95,6 +95,7 @@ READS = {
     "ndcg_official": 0,
     "union_recall": 0,
     "recall_micro": 0,
+    "rrf_weight_sweep": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
