@@ -97,6 +97,7 @@ READS = {
     "recall_micro": 0,
     "rrf_weight_sweep": 0,
     "precision_recall_mrr": 0,
+    "label_counts": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
