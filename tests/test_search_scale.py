@@ -98,6 +98,7 @@ READS = {
     "rrf_weight_sweep": 0,
     "precision_recall_mrr": 0,
     "label_counts": 0,
+    "rrf_fusion": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
