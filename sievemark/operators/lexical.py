@@ -20,7 +20,7 @@ QUERY_ROWS = 500_000
 #: Documents for which an index gets another bucket, and the fewest and most buckets.
 BUCKET_DOCS, LEAST_BUCKETS, MOST_BUCKETS = 20_000, 8, 4096
 #: Documents and bytes of text of a part, which one task counts and scores, and the fewest documents for which there is another one.
-PART_DOCS, PART_BYTES, LEAST_PART = 1 << 15, 96 << 20, 2_000
+PART_DOCS, PART_BYTES, LEAST_PART = 1 << 15, 96 << 20, 1 << 13
 #: Postings or results of a batch that a task gives.
 POSTINGS = 1 << 17
 #: Scores are rounded to so many in a unit.

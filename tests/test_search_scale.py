@@ -99,11 +99,13 @@ READS = {
     "precision_recall_mrr": 0,
     "label_counts": 0,
     "rrf_fusion": 0,
+    "match_batch": 2,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
 UNPAIRED = (
     "bm25_param_grid",
+    "match_batch",
     # end of pairs
 )
 
