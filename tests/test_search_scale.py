@@ -100,6 +100,7 @@ READS = {
     "label_counts": 0,
     "rrf_fusion": 0,
     "match_batch": 2,
+    "ndcg_cond": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
