@@ -101,6 +101,7 @@ READS = {
     "rrf_fusion": 0,
     "match_batch": 2,
     "ndcg_cond": 0,
+    "wsum_minmax": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
