@@ -102,6 +102,7 @@ READS = {
     "match_batch": 2,
     "ndcg_cond": 0,
     "wsum_minmax": 0,
+    "rerank_top100": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
