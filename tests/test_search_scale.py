@@ -103,6 +103,7 @@ READS = {
     "ndcg_cond": 0,
     "wsum_minmax": 0,
     "rerank_top100": 0,
+    "qrels_lines_parse": 0,
     # end of reads
 }
 #: Queries whose plans have no exchange by documents, but for the texts' own.
